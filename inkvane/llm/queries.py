@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from inkvane.llm.decontaminate import op5_decontaminate
+from inkvane.llm.substrings import op7_substring_dedup
 from inkvane.llm.urls import op6_url_filter
 from inkvane.llm.wavelet import op2_token_ids
 
@@ -10,5 +11,19 @@ QUERIES = {
     "op2_token_ids": op2_token_ids,
     "op5_decontaminate": op5_decontaminate,
     "op6_url_filter": op6_url_filter,
+    "op7_substring_dedup": op7_substring_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op7_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13),
+        g AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS k FROM p),
+        m AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least FROM g) WHERE least < doc_id),
+        c AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS j FROM m),
+        a AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+        r AS (SELECT a.doc_id, count(c.j) AS gone, string_agg(CASE WHEN c.j IS NULL THEN word END, ' ' ORDER BY a.j) AS kept
+              FROM a LEFT JOIN c ON a.doc_id = c.doc_id AND a.j = c.j GROUP BY a.doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN r ON d.doc_id = r.doc_id""",
 }
-ORACLE_SQL: dict[str, str] = {}
