@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from inkvane.llm.decontaminate import op5_decontaminate
+from inkvane.llm.quality import op9_quality
 from inkvane.llm.substrings import op7_substring_dedup
 from inkvane.llm.urls import op6_url_filter
+from inkvane.llm.vectors import op10_embedding_dedup
 from inkvane.llm.wavelet import op2_token_ids
 
 QUERIES = {
@@ -12,6 +14,8 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_url_filter": op6_url_filter,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_quality": op9_quality,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_substring_dedup": r"""
@@ -26,4 +30,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN r ON d.doc_id = r.doc_id""",
+    "op10_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+        p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+              WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+        r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+        c AS (SELECT a, min(b) AS least FROM r GROUP BY a),
+        n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+        SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least AS component_id, vec_id = least AS kept
+        FROM embeddings JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a""",
 }
