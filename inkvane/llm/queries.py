@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from inkvane.llm.decontaminate import op5_decontaminate
+from inkvane.llm.jaccard import op8_jaccard_join
 from inkvane.llm.quality import op9_quality
 from inkvane.llm.substrings import op7_substring_dedup
 from inkvane.llm.urls import op6_url_filter
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_url_filter": op6_url_filter,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_quality": op9_quality,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
@@ -40,4 +42,16 @@ ORACLE_SQL: dict[str, str] = {
         n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
         SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least AS component_id, vec_id = least AS kept
         FROM embeddings JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a""",
+    "op8_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS k
+              FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        p AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE common * 9 >= 4 * (x.n + y.n)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+        g AS (SELECT a, min(b) AS least FROM r GROUP BY a),
+        l AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+        SELECT doc_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links, least AS component_id, doc_id = least AS kept
+        FROM documents JOIN g ON doc_id = g.a LEFT JOIN l ON doc_id = l.a""",
 }
