@@ -12,6 +12,7 @@ gives no shards and no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -28,7 +29,7 @@ MAGIC = b"IVWM1"
 RANK_BITS = 512
 END_ID = 1
 SHARD_TOKENS = 1 << 21
-CACHED_WORDS = 300_000
+CACHED_WORDS, CACHED_PARTS = 200_000, 500_000
 
 
 class WaveletMatrix:
@@ -168,20 +169,52 @@ def open_shard(blob: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
     return [int(d) if k else None for d, k in zip(docs, known, strict=True)], np.frombuffer(parts[2], np.uint32), WaveletMatrix(n, bits, planes, ranks, zeros)
 
 
+#: Words of these characters need no normalising but lower case, and the tokenizer's rule splits them into these parts.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter for each byte in a byte-level vocabulary: printable bytes stand for themselves, others follow from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class PartIds(dict):
+    """ids of a part of a word, by the library's BPE model alone; holds the first CACHED_PARTS it meets."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenize, self.letters = tokenizer.model.tokenize, byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        ids = np.array([t.id for t in self.tokenize(part.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+        if len(self) < CACHED_PARTS:
+            self[part] = ids
+        return ids
+
+
 class WordIds(dict):
-    """ids of a word as little-endian 32-bit integers. The tokenizer drops white space, so ids of the words between
-    ASCII white space, one after the other, are those of the text. Holds the most recent words only."""
+    """ids of a word as little-endian 32-bit integers, for a byte-level BPE that lower-cases and drops white space: the
+    ids of the words between ASCII white space, one after the other, are those of the text. Plain words go to the BPE
+    model in parts, others through the whole tokenizer. Holds the first CACHED_WORDS words it meets."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = ids = np.array(self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.parts = tokenizer.encode, PartIds(tokenizer)
+
+    def __missing__(self, raw: bytes) -> bytes:
+        word = raw.decode("utf-8", "replace")
+        if _PLAIN(word) and "<|" not in word:
+            ids = b"".join(map(self.parts.__getitem__, _PARTS(word.lower())))
+        else:
+            ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) < CACHED_WORDS:
+            self[raw] = ids
         return ids
 
 
