@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from inkvane.llm import chat
+from inkvane.llm.chat import op3_chat
 from inkvane.llm.decontaminate import op5_decontaminate
 from inkvane.llm.jaccard import op8_jaccard_join
 from inkvane.llm.quality import op9_quality
@@ -12,6 +14,7 @@ from inkvane.llm.wavelet import op2_token_ids
 
 QUERIES = {
     "op2_token_ids": op2_token_ids,
+    "op3_chat": op3_chat,
     "op5_decontaminate": op5_decontaminate,
     "op6_url_filter": op6_url_filter,
     "op7_substring_dedup": op7_substring_dedup,
@@ -20,6 +23,7 @@ QUERIES = {
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_chat": chat.ORACLE,
     "op7_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
         p AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13),
