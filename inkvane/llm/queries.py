@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from inkvane.llm import chat
+from inkvane.llm import chat, mixing, pii
 from inkvane.llm.chat import op3_chat
 from inkvane.llm.decontaminate import op5_decontaminate
 from inkvane.llm.jaccard import op8_jaccard_join
+from inkvane.llm.mixing import op1_mixing
+from inkvane.llm.pii import op4_pii
 from inkvane.llm.quality import op9_quality
 from inkvane.llm.substrings import op7_substring_dedup
 from inkvane.llm.urls import op6_url_filter
@@ -13,8 +15,10 @@ from inkvane.llm.vectors import op10_embedding_dedup
 from inkvane.llm.wavelet import op2_token_ids
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_token_ids": op2_token_ids,
     "op3_chat": op3_chat,
+    "op4_pii": op4_pii,
     "op5_decontaminate": op5_decontaminate,
     "op6_url_filter": op6_url_filter,
     "op7_substring_dedup": op7_substring_dedup,
@@ -23,6 +27,8 @@ QUERIES = {
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": mixing.ORACLE,
+    "op4_pii": pii.ORACLE,
     "op3_chat": chat.ORACLE,
     "op7_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
