@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from inkvane.llm.common import arrow_bytes, read
 
 WINDOW = 13
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_WINDOWS = 1_500_000
 LAST_DOC = np.iinfo(np.int64).max
 
