@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,34 +27,45 @@ from pyspark.sql import functions as F
 
 from inkvane.llm.common import arrow_bytes, new_path, read
 
-MAGIC = b"IVWM1"
+MAGIC = b"IVWM2"
 RANK_BITS = 512
 END_ID = 1
 SHARD_TOKENS = 1 << 21
-CACHED_WORDS, CACHED_PARTS = 200_000, 500_000
+CACHED_WORDS, CACHED_PARTS = 400_000, 600_000
 
 
 class WaveletMatrix:
-    """Rank, select and access over a sequence of unsigned ids below 2**bits."""
+    """Rank, select and access over a sequence of unsigned ids. Planes hold the ids' places in ``symbols``."""
 
-    def __init__(self, n: int, bits: int, planes: list[np.ndarray], ranks: list[np.ndarray], zeros: list[int]):
-        self.n, self.bits, self.planes, self.ranks, self.zeros = n, bits, planes, ranks, zeros
+    def __init__(self, n: int, symbols: np.ndarray, planes: list[np.ndarray], ranks: list[np.ndarray], zeros: list[int]):
+        self.n, self.symbols, self.planes, self.ranks, self.zeros = n, symbols, planes, ranks, zeros
+        self.bits = len(planes)
+        self._places: dict[int, int] | None = None
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
+        """symbols: the ids that occur, the most frequent first, so upper planes are nearly empty and few."""
         n = len(ids)
-        bits = max(1, int(ids.max()).bit_length()) if n else 1
-        a = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+        often = np.bincount(ids) if n else np.zeros(0, np.int64)
+        symbols = np.flatnonzero(often)
+        symbols = symbols[np.argsort(-often[symbols], kind="stable")].astype(np.uint32)
+        bits = max(1, (len(symbols) - 1).bit_length())
+        place = np.zeros(len(often), np.uint16 if bits <= 16 else np.uint32)
+        place[symbols] = np.arange(len(symbols))
+        a = place[ids] if n else place
         planes, ranks, zeros = [], [], []
         for level in range(bits - 1, -1, -1):
-            ones = ((a >> level) & 1).astype(bool)
+            ones = (a & a.dtype.type(1 << level)) != 0
             plane = np.packbits(ones, bitorder="little")
             planes.append(plane)
             ranks.append(cls._directory(plane))
-            low = a[~ones]
+            low = np.flatnonzero(~ones)
             zeros.append(len(low))
-            a = np.concatenate([low, a[ones]])
-        return cls(n, bits, planes, ranks, zeros)
+            dealt = np.empty_like(a)
+            a.take(low, out=dealt[: len(low)], mode="clip")
+            a.take(np.flatnonzero(ones), out=dealt[len(low) :], mode="clip")
+            a = dealt.astype(np.uint8) if level == 8 else dealt
+        return cls(n, symbols, planes, ranks, zeros)
 
     @staticmethod
     def _directory(plane: np.ndarray) -> np.ndarray:
@@ -83,11 +96,17 @@ class WaveletMatrix:
             ones = self._rank1(level, i)
             i = self.zeros[level] + ones if bit else i - ones
             value = value << 1 | bit
-        return value
+        return int(self.symbols[value])
+
+    def _place(self, value: int) -> int | None:
+        if self._places is None:
+            self._places = {int(v): i for i, v in enumerate(self.symbols)}
+        return self._places.get(value)
 
     def _span(self, value: int, i: int) -> tuple[int, int]:
         """Where the occurrences of value among the first i ids lie after the last plane."""
-        if value < 0 or value >> self.bits:
+        value = self._place(value)
+        if value is None:
             return 0, 0
         start = 0
         for level in range(self.bits):
@@ -115,7 +134,7 @@ class WaveletMatrix:
         start, end = self._span(value, self.n)
         if not 0 <= k < end - start:
             raise IndexError(k)
-        i = start + k
+        i, value = start + k, self._place(value)
         for level in range(self.bits - 1, -1, -1):
             bit = value >> (self.bits - 1 - level) & 1
             i = self._select_bit(level, bit, i - self.zeros[level] if bit else i)
@@ -127,12 +146,14 @@ class WaveletMatrix:
     def decode(self) -> np.ndarray:
         out = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
-            ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            zeros = self.zeros[level]
+            out[zeros:] |= out.dtype.type(1 << (self.bits - 1 - level))
             dealt = np.empty_like(out)
-            dealt[~ones] = out[: self.zeros[level]]
-            dealt[ones] = out[self.zeros[level] :]
-            out = dealt | (ones.astype(out.dtype) << (self.bits - 1 - level))
-        return out
+            dealt[np.flatnonzero(~ones)] = out[:zeros]
+            dealt[np.flatnonzero(ones)] = out[zeros:]
+            out = dealt
+        return self.symbols[out] if self.n else out.astype(np.uint32)
 
 
 def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -140,7 +161,7 @@ def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -
     matrix = WaveletMatrix.build(ids)
     known = np.array([d is not None for d in doc_ids], np.uint8)
     docs = np.array([d or 0 for d in doc_ids], np.int64)
-    sections = [np.diff(docs, prepend=0).tobytes(), np.packbits(known).tobytes(), np.array(lengths, np.uint32).tobytes()]
+    sections = [np.diff(docs, prepend=0).tobytes(), np.packbits(known).tobytes(), np.array(lengths, np.uint32).tobytes(), matrix.symbols.tobytes()]
     for plane, ranks in zip(matrix.planes, matrix.ranks, strict=True):
         sections += [plane.tobytes(), np.diff(ranks).astype(np.uint16).tobytes()]
     pressed = [zstandard.ZstdCompressor(level=1).compress(s) for s in sections]
@@ -158,15 +179,15 @@ def open_shard(blob: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
     zeros = list(struct.unpack_from(f"<{bits}Q", blob, at))
     at += 8 * bits
     parts = []
-    for _ in range(3 + 2 * bits):
+    for _ in range(4 + 2 * bits):
         (size,) = struct.unpack_from("<I", blob, at)
         parts.append(zstandard.ZstdDecompressor().decompress(blob[at + 4 : at + 4 + size]))
         at += 4 + size
     docs = np.cumsum(np.frombuffer(parts[0], np.int64))
     known = np.unpackbits(np.frombuffer(parts[1], np.uint8), count=n_docs)
-    planes = [np.frombuffer(p, np.uint8) for p in parts[3::2]]
-    ranks = [np.concatenate([[0], np.cumsum(np.frombuffer(p, np.uint16).astype(np.int64))]).astype(np.uint32) for p in parts[4::2]]
-    return [int(d) if k else None for d, k in zip(docs, known, strict=True)], np.frombuffer(parts[2], np.uint32), WaveletMatrix(n, bits, planes, ranks, zeros)
+    planes = [np.frombuffer(p, np.uint8) for p in parts[4::2]]
+    ranks = [np.concatenate([[0], np.cumsum(np.frombuffer(p, np.uint16).astype(np.int64))]).astype(np.uint32) for p in parts[5::2]]
+    return [int(d) if k else None for d, k in zip(docs, known, strict=True)], np.frombuffer(parts[2], np.uint32), WaveletMatrix(n, np.frombuffer(parts[3], np.uint32), planes, ranks, zeros)
 
 
 #: Words of these characters need no normalising but lower case, and the tokenizer's rule splits them into these parts.
@@ -181,6 +202,14 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def little(ids: list[int]) -> bytes:
+    """ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class PartIds(dict):
     """ids of a part of a word, by the library's BPE model alone; holds the first CACHED_PARTS it meets."""
 
@@ -189,7 +218,7 @@ class PartIds(dict):
         self.tokenize, self.letters = tokenizer.model.tokenize, byte_letters()
 
     def __missing__(self, part: str) -> bytes:
-        ids = np.array([t.id for t in self.tokenize(part.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+        ids = little([t.id for t in self.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.letters))])
         if len(self) < CACHED_PARTS:
             self[part] = ids
         return ids
@@ -209,10 +238,14 @@ class WordIds(dict):
 
     def __missing__(self, raw: bytes) -> bytes:
         word = raw.decode("utf-8", "replace")
-        if _PLAIN(word) and "<|" not in word:
+        if raw.isalpha():
+            ids = self.parts[word.lower()]
+        elif raw[:-1].isalpha() and raw[-1] in b".,;:!?":
+            ids = self.parts[word[:-1].lower()] + self.parts[word[-1]]
+        elif _PLAIN(word) and "<|" not in word:
             ids = b"".join(map(self.parts.__getitem__, _PARTS(word.lower())))
         else:
-            ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = little(self.encode(word, add_special_tokens=False).ids)
         if len(self) < CACHED_WORDS:
             self[raw] = ids
         return ids
