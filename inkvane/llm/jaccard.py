@@ -5,8 +5,8 @@ are); two documents are linked if their sets' Jaccard similarity is at least the
 
 1. Documents with equal sets form a class, stood for by its smallest doc_id, so exact copies cost one row.
 2. Each class has ``BANDS * ROWS`` MinHash values. Classes that agree on a band are candidates: in each batch, and then
-   in each sorted partition, a member is tied to the first member of its bucket, so a bucket of m gives m - 1 rows, never
-   pairs. At the threshold of 0.8 a pair shares no band with probability (1 - 0.8**4)**25 = 2e-6.
+   over all batches, a member is tied to the first member of its bucket, so a bucket of m gives m - 1 edges, never pairs,
+   and a batch sends one entry for a bucket however hot. At the threshold of 0.8 a pair shares no band with probability (1 - 0.8**4)**25 = 2e-6.
 3. Inside each candidate group, MinHash values are compared in steps of ``STEP``; after n values with m agreements, the
    posterior probability (uniform prior) that the similarity reaches the threshold is P(Bin(n + 1, t) <= m), and a pair
    is dropped where that falls below ``TOLERANCE``. What is left splits the groups into smaller ones.
@@ -38,6 +38,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 4
 STEP, TOLERANCE = 16, 1e-6
 TILE, BUNDLE = 8192, 2000
+BUCKET_PAIRS = 250_000
 _MULTIPLIERS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1))[:, None]
 
 
@@ -97,11 +98,52 @@ def described(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") > 0)).mapInArrow(describe, "doc_id long, key binary, n long, sig binary")
 
 
-def banded(classes: DataFrame) -> DataFrame:
-    """Candidate edges (a, b) between classes (rep, sig) that share a band."""
+def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node of each one's component) of some edges."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[left], label[right])
+        new = label.copy()
+        for ends in (left, right, label[left], label[right]):
+            np.minimum.at(new, ends, low)
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
 
-    def edges(a, b):
-        return pa.RecordBatch.from_pydict({"h": np.zeros(len(a), np.int64), "a": a, "b": b, "edge": np.ones(len(a), bool)})
+def banded(classes: DataFrame) -> DataFrame:
+    """Candidate edges (a, b), a >= b, between classes (rep, sig) that share a band.
+
+    Pairs of band hash and class travel packed, in buckets of the hash's range; so do edges, in buckets of a hash of
+    a, where they are contracted to one for each node.
+    """
+    spread = max(1, classes.count() * BANDS // BUCKET_PAIRS)
+    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
+
+    def packed(kind: int, bucket: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(bucket, kind="stable")
+        bucket, x, y = bucket[order], x[order], y[order]
+        first = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else []
+        ends = np.append(first[1:], len(bucket)) if len(bucket) else []
+        rows = [(kind, int(bucket[s]), x[s:e].tobytes(), y[s:e].tobytes()) for s, e in zip(first, ends, strict=True)]
+        return pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(schema.names)}, schema=schema)
+
+    def tied(a: np.ndarray, hub: np.ndarray) -> pa.RecordBatch:
+        """Edges from members to other classes, once each, by bucket of the member."""
+        use = a != hub
+        pairs = np.unique(np.column_stack([a[use], hub[use]]), axis=0)
+        a, hub = pairs[:, 0].copy(), pairs[:, 1].copy()
+        return packed(1, (mix(a.view(np.uint64)) % np.uint64(spread)).astype(np.int64), a, hub)
+
+    def hubs(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Sorted pairs, where each hash begins, and each pair's first owner."""
+        order = np.lexsort((owner, h))
+        h, owner = h[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        return h, owner, first, np.repeat(owner[first], np.diff(np.append(first, len(h))))
 
     def buckets(batches):
         for batch in batches:
@@ -112,34 +154,26 @@ def banded(classes: DataFrame) -> DataFrame:
             h = np.zeros((len(reps), BANDS), np.uint64)
             for r in range(ROWS):
                 h = mix(h * np.uint64(0xD1342543DE82EF95) + sig[:, r::ROWS][:, :BANDS] + np.uint64(1))
-            h = mix(h + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).ravel()
-            owner = np.repeat(reps, BANDS)
-            order = np.lexsort((owner, h))
-            h, owner = h[order], owner[order]
-            first = np.flatnonzero(np.diff(h, prepend=~h[0]) != 0)
-            hub = np.repeat(owner[first], np.diff(np.append(first, len(h))))
-            yield pa.RecordBatch.from_pydict({"h": h[first], "a": owner[first], "b": owner[first], "edge": np.zeros(len(first), bool)})
-            tied = np.unique(np.column_stack([owner, hub])[owner != hub], axis=0)
-            yield edges(tied[:, 0].copy(), tied[:, 1].copy())
-
-    def meet(batches):
-        last, hub = None, None
-        for batch in batches:
-            h, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(h):
-                continue
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            hubs = np.repeat(rep[first], np.diff(np.append(first, len(h))))
-            if last is not None and h[0] == last:
-                hubs[: first[1] if len(first) > 1 else len(h)] = hub
-            last, hub = h[-1], hubs[-1]
-            tied = np.unique(np.column_stack([rep, hubs])[rep != hubs], axis=0)
-            yield pa.RecordBatch.from_pydict({"a": tied[:, 0].copy(), "b": tied[:, 1].copy()})
-
-    made = classes.select("rep", "sig").mapInArrow(buckets, "h long, a long, b long, edge boolean")
-    made = cut(made)
-    far = made.where("not edge").select("h", "a").repartition("h").sortWithinPartitions("h", "a").mapInArrow(meet, "a long, b long")
-    return made.where("edge").select("a", "b").union(far)
+            h = mix(h + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).ravel()
+            h, owner, first, hub = hubs(h, np.repeat(reps, BANDS))
+            yield packed(0, (h[first] % np.uint64(spread)).astype(np.int64), h[first], owner[first])
+            yield tied(owner, hub)
+
+    def meet(key, table):
+        if key[0].as_py() == 1:
+            return table
+        h, owner = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("x", np.uint64), ("y", np.int64)))
+        _, owner, _, hub = hubs(h, owner)
+        return pa.Table.from_batches([tied(owner, hub)])
+
+    def contract(key, table):
+        a, b = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("x", "y"))
+        nodes, root = local_components(a, b)
+        return pa.table({"a": nodes[nodes != root], "b": root[nodes != root]})
+
+    kind = "kind int, bucket long, x binary, y binary"
+    edges = classes.select("rep", "sig").mapInArrow(buckets, kind).groupBy("kind", "bucket").applyInArrow(meet, kind)
+    return edges.where("kind = 1").groupBy("bucket").applyInArrow(contract, "a long, b long")
 
 
 def survivors(sig_a, n_a, sig_b, n_b, threshold: float, needs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
