@@ -33,6 +33,11 @@ TILE = 16_384
 STEP = 512
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(float)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
 def unit_rows(lists: list) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of usable vectors and the vectors as unit rows; all of one length."""
     if not lists:
@@ -94,8 +99,8 @@ def fitted(vectors: DataFrame, threshold: float, margin: float | None = None) ->
     return Cells(k_means(x, k), min(chord, 2.5 * chord / dims**0.5) if margin is None else margin)
 
 
-def members(batches, cells: Cells):
-    """(vec_ids, unit vectors, row, cell, at home) of each batch and each length of vectors."""
+def members(batches, cells: Cells, kind=float):
+    """(vec_ids, vectors, row, cell, at home) of each batch and each length of vectors."""
     for batch in batches:
         ids, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         by: dict[int, list[int]] = {}
@@ -105,7 +110,8 @@ def members(batches, cells: Cells):
         for rows in by.values():
             good, x = unit_rows([lists[i] for i in rows])
             if len(good):
-                yield (np.array([ids[rows[g]] for g in good], np.int64), x, *cells.of(x))
+                own = np.array([lists[rows[g]] for g in good], kind)
+                yield (np.array([ids[rows[g]] for g in good], np.int64), own, *cells.of(x))
 
 
 def block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
@@ -160,8 +166,11 @@ def links(vectors: DataFrame, cells: Cells, threshold: float = THRESHOLD, tile:
     blocks = {r[0]: -(-r[1] // tile) for r in counted}  # at most a row for each cell
     schema = pa.schema([("cell", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("ids", pa.binary()), ("home", pa.binary()), ("x", pa.binary())])
 
+    # Vectors travel as they came, floats as floats, and are made unit vectors of doubles where they meet.
+    kind = np.float32 if rows.schema["embedding"].dataType.elementType.typeName() == "float" else float
+
     def deal(batches):
-        for ids, x, row, cell, home in members(batches, cells):
+        for ids, x, row, cell, home in members(batches, cells, kind):
             out = []
             order = np.argsort(cell, kind="stable")
             edges = np.flatnonzero(np.diff(cell[order], prepend=cell[order][0] - 1))
@@ -176,18 +185,17 @@ def links(vectors: DataFrame, cells: Cells, threshold: float = THRESHOLD, tile:
             yield pa.RecordBatch.from_pydict({n: [r[k] for r in out] for k, n in enumerate(schema.names)}, schema=schema)
 
     def meet(key, table):
-        dims = None
         ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
         home = np.frombuffer(b"".join(table.column("home").to_pylist()), bool)
         sizes = [len(v) // 8 for v in table.column("ids").to_pylist()]
         side = np.repeat(table.column("side").to_numpy(), sizes)
-        x = np.frombuffer(b"".join(table.column("x").to_pylist()), float)
-        dims = len(x) // len(ids)
+        x = np.frombuffer(b"".join(table.column("x").to_pylist()), kind)
+        x = unit(x.reshape(len(ids), -1))
         same = key[1].as_py() == key[2].as_py()
         if not same and len(np.unique(side)) < 2:
             ids, n, root = ids[:0], ids[:0], ids[:0]
         else:
-            ids, n, root = linked(ids, home, side, x.reshape(-1, dims), same, threshold)
+            ids, n, root = linked(ids, home, side, x, same, threshold)
         use = (n > 0) | (root != ids)
         return pa.table({"vec_id": ids[use], "n": n[use], "root": root[use]})
 
