@@ -238,15 +238,17 @@ def exact_links(reps, sets: list[np.ndarray], copies, side, threshold: float) ->
         block = np.zeros((len(sets), width), np.float32)
         block[owner[a:b], place[a:b] - k * width] = 1
         common += block[left] @ block[right].T
-    hit = common.astype(np.float64) * (1 + threshold) >= threshold * (n[left][:, None] + n[right][None, :]) - 1e-9
     count, groups = np.zeros(len(reps), np.int64), Groups(len(reps))
-    if right is left:
-        np.fill_diagonal(hit, False)
-    count[left] += hit @ copies[right]
-    if right is not left:
-        count[right] += hit.T @ copies[left]
-    for r in np.flatnonzero(hit.any(axis=1)):
-        groups.join(int(left[r]), right[hit[r]])
+    for at in range(0, len(left), 512):
+        rows = left[at : at + 512]
+        hit = common[at : at + 512].astype(np.float64) * (1 + threshold) >= threshold * (n[rows][:, None] + n[right][None, :]) - 1e-9
+        if right is left:
+            hit[np.arange(len(rows)), at + np.arange(len(rows))] = False
+        else:
+            count[right] += hit.T @ copies[rows]
+        count[rows] += hit @ copies[right]
+        for r in np.flatnonzero(hit.any(axis=1)):
+            groups.join(int(rows[r]), right[hit[r]])
     least = np.full(len(reps), np.iinfo(np.int64).max)
     np.minimum.at(least, groups.label, reps)
     return count, least[groups.label]
