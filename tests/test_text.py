@@ -85,3 +85,17 @@ def test_streams_give_the_same_columns(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     want = scored(rows, ["word_count", "upper_word_ratio"], ["DT_count"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stems(spark):
+    from inkvane.functions.stem import measure, stem, stemmed
+
+    # examples of the published algorithm
+    words = "caresses:caress ponies:poni cats:cat feed:feed agreed:agre plastered:plaster bled:bled motoring:motor sing:sing conflated:conflat hopping:hop falling:fall hissing:hiss filing:file happy:happi sky:sky relational:relat conditional:condit digitizer:digit vietnamization:vietnam triplicate:triplic hopeful:hope goodness:good revival:reviv adjustment:adjust adoption:adopt probate:probat rate:rate cease:ceas controll:control roll:roll"
+    for pair in words.split():
+        word, want = pair.split(":")
+        assert stem(word) == want, word
+    assert [measure(w) for w in ("tree", "by", "trouble", "oats", "private")] == [0, 0, 1, 1, 2]
+    df = spark.createDataFrame([("Cats running",), (None,)], "t string")
+    got = [r[0] for r in df.select(tagging.tagged(F.col("t"), stem=stemmed)).collect()]
+    assert [x["token"] for x in got[0]] == ["cat", "run"] and got[1] is None
