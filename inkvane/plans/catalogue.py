@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkvane.functions import tagging, text
+from inkvane.functions.order import numbered
 from inkvane.functions.stopwords import STOP_WORDS
 from inkvane.functions.weights import Corpus, composed, power
 from inkvane.ml import folds
@@ -237,7 +238,7 @@ def toy_vectors(s: SparkSession, d: str) -> DataFrame:
     v = P.table(s, d, "embeddings")
     n = v.count()
     order = _vocabulary(s, d).select("term", (F.row_number().over(Window.orderBy(F.desc("cf"), "term")) - 1).alias("r"))
-    rows = v.select((F.row_number().over(Window.orderBy("vec_id")) - 1).alias("k"), F.col("embedding").alias("vec"))
+    rows = numbered(v, "k", "vec_id").select("k", F.col("embedding").alias("vec"))
     return order.join(rows, F.col("r") % n == F.col("k")).select(F.col("term").alias("token"), "vec")
 
 

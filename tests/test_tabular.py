@@ -108,8 +108,13 @@ def test_tfidf_model(spark):
     assert np.allclose(got[["n_lda_0", "n_lda_1", "n_lda_2"]].sum(axis=1), 1) and got["n_cos"].between(0, 1).all()
     assert {"n_count_PCA_1", "n_count_PCA_2", "w_idf_PCA_2"} <= set(got.columns)
     index, size = model._index()
-    v = tfidf.truncated_svd(tfidf.vectors(model._weights(docs, "document", "n"), index, size, "x"), 2)
+    rows = tfidf.sparse_rows(model._weights(docs, "document", "n"), index, "x")
+    v = tfidf.truncated_svd(rows, size, 2)
+    dense = np.zeros((12, size))
+    for r in rows.collect():
+        dense[r["id"], r["indices"]] = r["values"]
     assert np.allclose(v.T @ v, np.eye(2), atol=1e-8)
+    assert np.allclose(np.linalg.norm(dense @ v, axis=0), np.linalg.svd(dense)[1][:2], atol=1e-6)  # the second value is not single
 
 
 def test_files(spark, tmp_path):
@@ -126,6 +131,14 @@ def test_files(spark, tmp_path):
     assert io.submission_name(0.91234).endswith("_cv_ac_0.912")
 
 
+def test_numbered(spark):
+    from inkvane.functions.order import numbered
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
+    got = numbered(df.repartition(7), "n", F.desc("x"), first=1).collect()
+    assert all(r["n"] == 1000 - r["x"] for r in got) and len(got) == 1000
+
+
 def test_densities(table):
     from inkvane.operators.plots import densities
 
