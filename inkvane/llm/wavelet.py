@@ -31,7 +31,7 @@ MAGIC = b"IVWM2"
 RANK_BITS = 512
 END_ID = 1
 SHARD_TOKENS = 1 << 21
-CACHED_WORDS, CACHED_PARTS = 400_000, 600_000
+CACHED_WORDS, CACHED_PARTS = 300_000, 450_000
 
 
 class WaveletMatrix:
