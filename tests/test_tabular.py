@@ -117,6 +117,43 @@ def test_tfidf_model(spark):
     assert np.allclose(np.linalg.norm(dense @ v, axis=0), np.linalg.svd(dense)[1][:2], atol=1e-6)  # the second value is not single
 
 
+def test_topics_read_every_document(spark):
+    """Topics are those of a plain batch fit, whatever the partitions; every word's count is in them."""
+    rng = np.random.default_rng(1)
+    lines = [(i, " ".join(f"{'abc'[i % 3]}word{j}" for j in rng.integers(0, 20, 30)) + f" rare{i}") for i in range(60)]
+    docs = spark.createDataFrame(lines, "id long, document string")
+    pairs = docs.withColumn("summary", F.col("document"))
+    one, many = (tfidf.fit_tfidf(docs.repartition(n, "id"), ["n_lda"]) for n in (1, 7))
+    a, b = (m.transform(pairs).toPandas().sort_values("id").filter(like="n_lda").to_numpy() for m in (one, many))
+    assert np.allclose(a, b, atol=1e-6)
+    terms = [r[0] for r in one.idf.select("term").orderBy("term").collect()]
+    counts = np.array([[t.split().count(w) for w in terms] for _, t in lines], float)
+    topics = one.projections["n", "lda"]
+    assert np.allclose(topics.sum(axis=0) - 1, counts.sum(axis=0))
+
+    def digamma(x):  # by the differences of log gamma
+        f = np.vectorize(math.lgamma)
+        return (f(x - 2e-3) - 8 * f(x - 1e-3) + 8 * f(x + 1e-3) - f(x + 2e-3)) / 12e-3
+
+    def expected(x):
+        return np.exp(digamma(x) - digamma(x.sum(axis=-1, keepdims=True)))
+
+    want = np.random.default_rng(0).gamma(100.0, 0.01, topics.shape)
+    for _ in range(10):
+        word, total = expected(want), np.zeros_like(want)
+        for c in counts:
+            g, last = np.ones(3), np.zeros(3)
+            for _ in range(100):
+                last, e = g, expected(g)
+                g = 1 / 3 + e * (word @ (c / (e @ word)))
+                if np.abs(g - last).mean() < 1e-3:
+                    break
+            e = expected(g)
+            total += np.outer(e, c / (e @ word)) * word
+        want = 1 / 3 + total
+    assert np.allclose(sorted(topics.sum(axis=1)), sorted(want.sum(axis=1)), rtol=1e-4)
+
+
 def test_files(spark, tmp_path):
     rows = [(1, 'a "quoted", text\nwith lines', ""), (2, " spaces ", "x")]
     df = spark.createDataFrame(rows, "id long, document string, summary string")
