@@ -2,9 +2,10 @@
 
 Centres are fitted on at most ``FIT_ROWS`` vectors (those with the smallest hash of vec_id); every vector is then
 assigned. A vector u at home in cell a can be linked to v only if v lies near a: v joins its home cell and, as a guest,
-each cell whose boundary with its home is within ``margin``. The exact margin for a threshold t is the chord
-sqrt(2 - 2t): then nothing is lost. In many dimensions a chord has little extent in any one direction, so the default
-margin is 2.5 times its standard deviation there, sqrt((2 - 2t) / dimensions); recall against brute force is tested.
+each cell whose boundary with its home is within ``margin``. The default margin is the chord sqrt(2 - 2t) of the
+threshold t, by which no link is lost, whatever the vectors' spread. How many cells are made, one to ``MOST_CELLS``, is
+the choice of least work by the memberships counted on the fitted sample: where the vectors fill many dimensions nearly
+every cell is a neighbour, and one cell in blocks is the least. A smaller ``margin`` is faster and loses links.
 
 Each vector's links are counted once, in its home cell. Cells of more than ``TILE`` vectors are dealt into blocks by a
 hash of vec_id, and each pair of blocks is one task, so no cell is gathered in one place. Cosines are double precision.
@@ -31,6 +32,8 @@ FIT_ROWS = 20_000
 CELL_ROWS, MOST_CELLS = 500, 1024
 TILE = 16_384
 STEP = 512
+#: Comparisons of two vectors that take as long as sending one to a task.
+SENT = 1000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -92,11 +95,24 @@ def fitted(vectors: DataFrame, threshold: float, margin: float | None = None) ->
     dims, n = lengths[0]
     some = ok.where(F.size("embedding") == dims).orderBy(F.xxhash64(F.lit("cells"), "vec_id"), "vec_id").limit(FIT_ROWS).select("embedding")
     _, x = unit_rows([r for r in some.toPandas()["embedding"] if r is not None and all(v is not None for v in r)])
-    k = min(max(1, n // CELL_ROWS), MOST_CELLS, len(x))
-    if k == 0:
+    most = min(max(1, n // CELL_ROWS), MOST_CELLS, len(x))
+    if most == 0:
         return Cells(np.zeros((0, 0)), 0.0)
-    chord = (2 - 2 * threshold) ** 0.5
-    return Cells(k_means(x, k), min(chord, 2.5 * chord / dims**0.5) if margin is None else margin)
+    margin = (2 - 2 * threshold) ** 0.5 if margin is None else margin
+    sizes = sorted({most, *(4**i for i in range(6) if 4**i < most)})
+    return min((Cells(k_means(x, k), margin) for k in sizes), key=lambda cells: work(cells, x, n))
+
+
+def work(cells: Cells, x: np.ndarray, n: int) -> float:
+    """Comparisons, and vectors sent as comparisons, that n vectors like the sample x make."""
+    k = len(cells.centres)
+    here, home = np.zeros(k), np.zeros(k)
+    for at in range(0, len(x), 1000):
+        _, cell, own = cells.of(x[at : at + 1000])
+        here += np.bincount(cell, minlength=k)
+        home += np.bincount(cell[own], minlength=k)
+    here, home = here * n / len(x), home * n / len(x)
+    return float((home * here + SENT * here * np.ceil(here / TILE)).sum())
 
 
 def members(batches, cells: Cells, kind=float):
@@ -137,16 +153,20 @@ def linked(ids: np.ndarray, home: np.ndarray, side: np.ndarray, x: np.ndarray, s
     split = len(ids) if same else int((side == side[0]).sum())
     left, right = np.arange(split), np.arange(split) if same else np.arange(split, len(ids))
     count, groups = np.zeros(len(ids), np.int64), Groups(len(ids))
-    for at in range(0, len(left), STEP):
-        rows = left[at : at + STEP]
-        hit = x[rows] @ x[right].T >= threshold
-        if same:
-            hit[np.arange(len(rows)), rows] = False
-        count[rows] += hit.sum(axis=1)
-        if not same:
-            count[right] += hit.sum(axis=0)
-        for r in np.flatnonzero(hit.any(axis=1)):
-            groups.join(int(rows[r]), right[hit[r]])
+    # A link of two guests is seen in their own cells. Of two blocks, those at home in the left one meet the right one,
+    # then those at home in the right one the guests in the left one.
+    turns = [(left[home[left]], right)] if same else [(left[home[left]], right), (right[home[right]], left[~home[left]])]
+    for those, others in turns:
+        for at in range(0, len(those), STEP):
+            rows = those[at : at + STEP]
+            hit = x[rows] @ x[others].T >= threshold
+            if same:
+                hit[np.arange(len(rows)), rows] = False
+            count[rows] += hit.sum(axis=1)
+            if not same:
+                count[others] += hit.sum(axis=0)
+            for r in np.flatnonzero(hit.any(axis=1)):
+                groups.join(int(rows[r]), others[hit[r]])
     least = np.full(len(ids), np.iinfo(np.int64).max)
     np.minimum.at(least, groups.label, ids)
     return ids, np.where(home, count, 0), least[groups.label]

@@ -305,6 +305,24 @@ def test_embedding_recall(spark):
     assert 0.99 * want <= got <= want and want >= 1600
 
 
+@pytest.mark.parametrize("rank", [4, 12])
+def test_embedding_links_of_low_rank(spark, rank):
+    """Vectors of a subspace, partners at cosines just above 0.95, in 16 cells and in the cells of the default: no link is lost."""
+    rng = np.random.default_rng(11)
+    plane = np.linalg.qr(rng.normal(size=(64, rank)))[0].T
+    x, aside = rng.normal(size=(2, 4000, rank))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    aside -= (aside * x).sum(axis=1)[:, None] * x
+    c = rng.uniform(0.9502, 0.97, 4000)[:, None]
+    x = np.concatenate([x, c * x + np.sqrt(1 - c * c) * aside / np.linalg.norm(aside, axis=1)[:, None]]) @ plane
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = ((x @ x.T) >= 0.95).sum(axis=1) - 1
+    cells = vectors.fitted(df, 0.95)
+    for centres in (cells.centres, vectors.k_means(x, 16)):
+        found = vectors.links(df, vectors.Cells(centres, cells.margin), tile=1500).groupBy("vec_id").agg(F.sum("n").alias("n")).collect()
+        assert {r["vec_id"]: r["n"] for r in found if r["n"]} == {i: n for i, n in enumerate(want.tolist()) if n}
+
+
 def test_mixing_weights_and_budget(spark):
     rows = [(i, "w " * (1 + i % 5), "big" if i % 10 else f"small{i % 3}") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
