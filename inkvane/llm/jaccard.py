@@ -17,7 +17,7 @@ blocks. Tasks return a row per class (links, and the smallest linked class), nev
 
 Documents of fewer than ``SHINGLE`` words have one shingle, all their words; a document without words (null or white
 space) has none and links with nothing, as does one without doc_id. Rows that repeat a doc_id count as documents of
-their own. An empty table gives no rows; other columns are ignored.
+their own: classes are numbered, and rows are told apart by doc_id and a hash of the text. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkvane.llm.common import arrow_bytes, components, cut, read
@@ -80,22 +80,26 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
     return n
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("binary"))
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n, sig) of every document that has words and a doc_id."""
+    """(doc_id, h, key, n, sig) of every document that has words and a doc_id."""
     arrow_bytes(docs.sparkSession)
 
     def describe(batches):
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, text, h in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 found = shingles(text.as_py())
                 if len(found):
-                    out.append((doc, class_key(found), len(found), signature(found).tobytes()))
-            names, kinds = ["doc_id", "key", "n", "sig"], [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+                    out.append((doc, h, class_key(found), len(found), signature(found).tobytes()))
+            names, kinds = ["doc_id", "h", "key", "n", "sig"], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") > 0)).mapInArrow(describe, "doc_id long, key binary, n long, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), text_hash().alias("h"))
+    return rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") > 0)).mapInArrow(describe, "doc_id long, h long, key binary, n long, sig binary")
 
 
 def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,11 +280,16 @@ def _by_component(table: pa.Table):
 
 
 def linked_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, tile: int = TILE, bundle: int = BUNDLE) -> tuple[DataFrame, DataFrame]:
-    """(documents with their class, links of classes): (doc_id, key, rep, copies) and (rep, others, component)."""
+    """(documents with their class, links of classes): (doc_id, h, node, rep, copies) and (node, rep, others, component, first).
+
+    node: a class's number; rep: its smallest doc_id; first: the smallest (doc_id, h) of its group, component that doc_id.
+    """
     per_doc = cut(described(docs))
-    classes = cut(per_doc.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    # Classes of one doc_id (a repeated id with other texts) share a node; their rows are told apart by key.
-    groups = components(banded(classes)).select(F.col("node").alias("rep"), "component")
+    classes = per_doc.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    # A class's number is of the written rows, so it stays.
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    numbered = classes.select(F.col("node").alias("rep"), "n", "sig")
+    groups = components(banded(numbered)).select(F.col("node").alias("rep"), "component")
 
     def prune(key, table):
         same = key[1].as_py() == key[2].as_py()
@@ -292,7 +301,7 @@ def linked_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: flo
                 root[at] = pruned_groups(reps[at], sig[at], n[at], np.zeros(len(at), int) if same else side[at], threshold, tolerance)
         return pa.table({"a": reps, "b": root})
 
-    near = tiles(classes.select("rep", "n", "sig").join(groups, "rep"), tile, bundle)
+    near = tiles(numbered.join(groups, "rep"), tile, bundle)
     tied = near.groupBy("task", "i", "j").applyInArrow(prune, "a long, b long")
     fine = components(tied).select(F.col("node").alias("rep"), "component")
 
@@ -313,31 +322,42 @@ def linked_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: flo
         cols = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3)]
         return pa.table({"rep": cols[0], "others": cols[1], "root": cols[2]})
 
-    members = cut(classes.select("rep", "key", "copies").join(fine, "rep"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
+    members = cut(classes.select(F.col("node").alias("rep"), F.col("least.doc_id").alias("doc_id"), F.col("least.h").alias("h"), "key", "copies").join(fine, "rep"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), text_hash().alias("h"))
     placed = tiles(members, tile // 2, bundle)
-    checked = texts.join(placed.hint("shuffle_hash"), "rep").groupBy("task", "i", "j").applyInArrow(verify, "rep long, others long, root long")
+    checked = texts.join(placed.hint("shuffle_hash"), ["doc_id", "h"]).groupBy("task", "i", "j").applyInArrow(verify, "rep long, others long, root long")
     checked = cut(checked)
-    ends = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "component")
-    counts = checked.groupBy("rep").agg(F.sum("others").alias("others"))
-    docs_classes = per_doc.select("doc_id", "key").join(classes.select("key", "rep", "copies"), "key")
-    return docs_classes, counts.join(ends, "rep", "left")
+    ends = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select("node", F.col("component").alias("end"))
+    counts = checked.groupBy(F.col("rep").alias("node")).agg(F.sum("others").alias("others"))
+    linked = counts.join(ends, "node").join(classes.select("node", "least"), "node")
+    firsts = linked.groupBy("end").agg(F.min("least").alias("first"))
+    links = linked.join(firsts, "end").select("node", F.col("least.doc_id").alias("rep"), "others", F.col("first.doc_id").alias("component"), "first")
+    docs_classes = per_doc.select("doc_id", "h", "key").join(classes.select("key", "node", "least", F.col("least.doc_id").alias("rep"), "copies"), "key")
+    return docs_classes, links
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_links, component_id, kept of every document."""
     found, links = linked_classes(docs, threshold)
-    out = found.join(links, "rep", "left").select("doc_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    out = found.join(links.drop("rep"), "node", "left").select("doc_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")).alias("compared"))
     rest = ids.where("compared is null or not compared").select("doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
     return out.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def without_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs less those that are linked, directly or through others, to a document with a smaller doc_id."""
-    found, links = linked_classes(docs, threshold)
-    gone = found.join(links, "rep", "left").where(F.col("doc_id") != F.coalesce("component", "rep")).select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each group of linked rows: the one of the smallest doc_id. Rows without doc_id come last."""
+    row = ["_doc", "_h"]
+    marked = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_h": text_hash()})
+    found, links = linked_classes(marked.select(F.col("_doc").alias("doc_id"), "text"), threshold)
+    found = found.withColumnsRenamed({"doc_id": "_doc", "h": "_h"})
+    first = F.coalesce("first", "least")
+    gone = found.join(links.drop("rep"), "node", "left").where((F.col("_doc") != first["doc_id"]) | (F.col("_h") != first["h"])).select(*row).distinct()
+    kept = marked.join(gone.hint("shuffle_hash"), row, "left_anti")
+    twice = cut(found.groupBy(*row).count().where("count > 1").select(*row))
+    if twice.limit(1).count():
+        kept = kept.join(twice, row, "left_anti").unionByName(kept.join(twice, row, "left_semi").dropDuplicates(row))
+    return kept.select(*docs.columns)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,6 +203,17 @@ def test_jaccard_of_odd_rows(odd, empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_jaccard_of_repeated_ids(spark):
+    """Other texts under a repeated doc_id are documents of their own; one row of each group is kept."""
+    other = " ".join(f"other{i}" for i in range(40))
+    rows = [(1, LONG), (1, LONG), (5, LONG), (5, other), (7, other + " a"), (7, "a " + other), (9, "one two"), (None, LONG), (None, "three four")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((number(r["doc_id"]), r["n_links"], number(r["component_id"])) for r in jaccard.near_duplicates(docs).collect())
+    assert got == near_by_hand(rows)
+    kept = sorted((number(r["doc_id"]), r["text"]) for r in jaccard.without_duplicates(docs).collect())
+    assert kept == [(-1, "three four"), (1, LONG), (5, other), (9, "one two")]
+
+
 def test_jaccard_with_small_tiles(spark):
     """A group of near copies larger than a tile, and chains of links."""
     rng = np.random.default_rng(5)
