@@ -12,8 +12,8 @@ are); two documents are linked if their sets' Jaccard similarity is at least the
    is dropped where that falls below ``TOLERANCE``. What is left splits the groups into smaller ones.
 4. Inside those, every pair is verified exactly from the documents' shingles (intersection sizes as block products).
 
-Groups of up to ``TILE`` classes are bundled many to a task; larger ones are dealt into blocks, a task for each pair of
-blocks. Tasks return a row per class (links, and the smallest linked class), never pairs.
+Groups of up to ``TILE`` classes (``TEXT_TILE`` where texts are compared) are bundled many to a task; larger ones are dealt
+into blocks, a task for each pair of blocks. Tasks return a row per class (links, and the smallest linked class), never pairs.
 
 Documents of fewer than ``SHINGLE`` words have one shingle, all their words; a document without words (null or white
 space) has none and links with nothing, as does one without doc_id. Rows that repeat a doc_id count as documents of
@@ -31,31 +31,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkvane.llm.common import arrow_bytes, components, cut, read
-from inkvane.llm.substrings import mix, word_hashes
+from inkvane.llm.hashing import BASES, mix, rolled, word_hashes
 from inkvane.llm.vectors import Groups
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 4
 STEP, TOLERANCE = 16, 1e-6
-TILE, BUNDLE = 8192, 2000
+TILE, TEXT_TILE, BUNDLE = 4096, 1024, 1000
 BUCKET_PAIRS = 250_000
 _MULTIPLIERS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1))[:, None]
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     """Distinct hashes of a text's shingles, ascending."""
-    words = word_hashes(text)
+    words = word_hashes(text)[:, 0]
     if not len(words):
         return words
-    n = max(1, len(words) - size + 1)
-    out = np.zeros(n, np.uint64)
-    factor = 1
-    for j in range(min(size, len(words))):
-        out += words[j : j + n] * np.uint64(factor)
-        factor = factor * 0xD1342543DE82EF95 % (1 << 64)
-    if len(words) < size:
-        out += np.uint64(len(words))
-    return np.unique(mix(out))
+    out = np.sort(rolled(words, size, BASES[0]) if len(words) >= size else rolled(words, len(words), BASES[0]) + np.uint64(len(words)))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def signature(found: np.ndarray) -> np.ndarray:
@@ -88,15 +81,20 @@ def described(docs: DataFrame) -> DataFrame:
     """(doc_id, h, key, n, sig) of every document that has words and a doc_id."""
     arrow_bytes(docs.sparkSession)
 
+    names = ["doc_id", "h", "key", "n", "sig"]
+
     def describe(batches):
         for batch in batches:
-            out = []
-            for doc, text, h in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            use, keys, sizes, sigs = [], [], [], []
+            for i, text in enumerate(batch.column(1)):
                 found = shingles(text.as_py())
                 if len(found):
-                    out.append((doc, h, class_key(found), len(found), signature(found).tobytes()))
-            names, kinds = ["doc_id", "h", "key", "n", "sig"], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
+                    use.append(i)
+                    keys.append(class_key(found))
+                    sizes.append(len(found))
+                    sigs.append(signature(found).tobytes())
+            at = pa.array(use, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), text_hash().alias("h"))
     return rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") > 0)).mapInArrow(describe, "doc_id long, h long, key binary, n long, sig binary")
@@ -207,8 +205,8 @@ def pruned_groups(reps, sig, n, side, threshold: float, tolerance: float) -> np.
     groups = Groups(len(reps))
     left = np.flatnonzero(side == side[0])
     right = left if len(left) == len(reps) else np.flatnonzero(side != side[0])
-    for at in range(0, len(left), 512):
-        rows = left[at : at + 512]
+    for at in range(0, len(left), 128):
+        rows = left[at : at + 128]
         cols = right[right > rows[0]] if right is left else right
         if not len(cols):
             continue
@@ -235,7 +233,7 @@ def exact_links(reps, sets: list[np.ndarray], copies, side, threshold: float) ->
     owner, place = owner[use], column[place[use]]
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
-    width = max(64, min(4096, (1 << 24) // len(sets)))
+    width = max(64, min(4096, (1 << 22) // len(sets)))
     common = np.zeros((len(left), len(right)), np.float32)
     edges = np.searchsorted(place, np.arange(0, int(shared.sum()) + width, width))
     for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
@@ -243,9 +241,9 @@ def exact_links(reps, sets: list[np.ndarray], copies, side, threshold: float) ->
         block[owner[a:b], place[a:b] - k * width] = 1
         common += block[left] @ block[right].T
     count, groups = np.zeros(len(reps), np.int64), Groups(len(reps))
-    for at in range(0, len(left), 512):
-        rows = left[at : at + 512]
-        hit = common[at : at + 512].astype(np.float64) * (1 + threshold) >= threshold * (n[rows][:, None] + n[right][None, :]) - 1e-9
+    for at in range(0, len(left), 128):
+        rows = left[at : at + 128]
+        hit = common[at : at + 128].astype(np.float64) * (1 + threshold) >= threshold * (n[rows][:, None] + n[right][None, :]) - 1e-9
         if right is left:
             hit[np.arange(len(rows)), at + np.arange(len(rows))] = False
         else:
@@ -279,7 +277,7 @@ def _by_component(table: pa.Table):
     return np.split(order, edges[1:])
 
 
-def linked_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, tile: int = TILE, bundle: int = BUNDLE) -> tuple[DataFrame, DataFrame]:
+def linked_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, tile: int = TILE, bundle: int = BUNDLE, text_tile: int = TEXT_TILE) -> tuple[DataFrame, DataFrame]:
     """(documents with their class, links of classes): (doc_id, h, node, rep, copies) and (node, rep, others, component, first).
 
     node: a class's number; rep: its smallest doc_id; first: the smallest (doc_id, h) of its group, component that doc_id.
@@ -307,7 +305,7 @@ def linked_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: flo
 
     def verify(key, table):
         same = key[1].as_py() == key[2].as_py()
-        sets = [shingles(t) for t in table.column("text").to_pylist()]
+        sets = [shingles(t.as_py()) for t in table.column("text")]
         keys = table.column("key").to_pylist()
         right = np.array([class_key(s) == k for s, k in zip(sets, keys, strict=True)], bool)
         reps, side, copies = (table.column(c).to_numpy() for c in ("rep", "side", "copies"))
@@ -324,7 +322,7 @@ def linked_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: flo
 
     members = cut(classes.select(F.col("node").alias("rep"), F.col("least.doc_id").alias("doc_id"), F.col("least.h").alias("h"), "key", "copies").join(fine, "rep"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), text_hash().alias("h"))
-    placed = tiles(members, tile // 2, bundle)
+    placed = tiles(members, min(tile, text_tile), bundle)
     checked = texts.join(placed.hint("shuffle_hash"), ["doc_id", "h"]).groupBy("task", "i", "j").applyInArrow(verify, "rep long, others long, root long")
     checked = cut(checked)
     ends = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select("node", F.col("component").alias("end"))

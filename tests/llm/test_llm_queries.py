@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from inkvane.llm import chat, decontaminate, jaccard, mixing, pii, quality, substrings, urls, vectors, wavelet
+from inkvane.llm import chat, decontaminate, hashing, jaccard, mixing, pii, quality, substrings, urls, vectors, wavelet
 from inkvane.llm.queries import ORACLE_SQL, QUERIES
 
 LONG = " ".join(f"word{i}" for i in range(40))
@@ -214,6 +214,31 @@ def test_jaccard_of_repeated_ids(spark):
     assert kept == [(-1, "three four"), (1, LONG), (5, other), (9, "one two")]
 
 
+def thue_morse(n):
+    """A word of n letters a and b, and its complement: equal under any polynomial hash modulo 2**64, from 1024 letters on."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_built_to_collide(spark, n):
+    a, b = thue_morse(n)
+    twelve = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"{twelve} {a}"), (2, f"{twelve} {b}"), (3, a), (4, b)], "doc_id long, text string")
+    assert {r["n_removed"] for r in substrings.removed(docs).collect()} == {0}
+    assert {r["n_links"] for r in jaccard.near_duplicates(docs.where("doc_id > 2")).collect()} == {0}
+
+
+def test_jaccard_of_long_texts(spark):
+    """Texts beyond a piece of the word hash: the pieces' words are those of the whole text."""
+    words = [f"w{i}" for i in range(60000)]
+    texts = [" ".join(words), "\t".join(words), " ".join(words[:-100]), "y" * 700_000, " " * 600_000 + "a b"]
+    for t in texts:
+        assert hashing.word_hashes(t.encode()).tobytes() == b"".join(map(hashing.xxh3_128_digest, t.encode().split()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [(r["doc_id"], r["n_links"]) for r in jaccard.near_duplicates(docs).orderBy("doc_id").collect()] == [(0, 2), (1, 2), (2, 2), (3, 0), (4, 0)]
+
+
 def test_jaccard_with_small_tiles(spark):
     """A group of near copies larger than a tile, and chains of links."""
     rng = np.random.default_rng(5)
