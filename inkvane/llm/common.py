@@ -27,11 +27,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one only where that is unset
+    and driver and executors are one machine's threads."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not where:
-        where = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="inkvane-")
+        where = sc.getCheckpointDir()
+        if not where and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = where or tempfile.mkdtemp(prefix="inkvane-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -41,6 +45,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared store."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as a table of the shared folder and read again: cuts the lineage and survives a lost executor."""
     spark = df.sparkSession

@@ -160,18 +160,34 @@ def test_substrings_of_odd_rows(spark, odd, empty):
 
 
 def test_substring_index_over_batches(spark, tmp_path):
+    """Three batches through an index that is compacted, split and opened again between them."""
     rows = [(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(60))) for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = {d: " ".join(x.decode() for x in k) for (d, _), k in zip(rows, removed_by_hand(rows), strict=True)}
-    index = substrings.SubstringIndex(spark, 3, str(tmp_path / "i"))
+    path = str(tmp_path / "i")
+    index = substrings.SubstringIndex.made(spark, path, 2 * substrings.BUCKET_WINDOWS)
     got = {}
     for k in range(3):
         batch = df.where(f"doc_id >= {4 * k} and doc_id < {4 * k + 4}")
-        got |= {r["doc_id"]: r["kept"] for r in substrings.removed(batch, index).collect()}
-        index.append(batch, 2)
+        got |= {r["doc_id"]: r["kept"] for r in index.feed(batch).collect()}
         if k == 1:
-            index = index.compact(str(tmp_path / "c"))
-    assert got == want and index.levels == 2
+            old = list(index.levels)
+            index.compact(most=10)
+            assert len(index.levels) == 1 and index.bits > 1 and not any((tmp_path / "i" / x).exists() for x in old)
+            for level in index.levels:
+                spark.sql(f"DROP TABLE {index._table_name(level)}")
+            index = substrings.SubstringIndex.opened(spark, path)
+    assert got == want and len(index.levels) == 2 and index.version == 5
+    again = index.feed(df.where("doc_id = 3").withColumn("doc_id", F.lit(99))).first()
+    assert again["kept"] == "" and again["n_removed"] == 60
+
+
+def test_substrings_in_batches(spark, odd, empty):
+    """Batches and one batch agree, on odd rows too; a level meets the next batch without a shuffle."""
+    one, three = (sorted(map(str, f.collect())) for f in (substrings.removed(odd), substrings.deduplicated(odd, 3)))
+    assert one == three and substrings.deduplicated(empty).count() == 0
+    nothing = spark.createDataFrame([(None, LONG)], "doc_id long, text string")
+    assert [r["n_removed"] for r in substrings.deduplicated(nothing).collect()] == [0]
 
 
 def number(x):
