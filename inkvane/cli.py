@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkvane.functions.weights import Constants
-from inkvane.ml.models import MODELS
+from inkvane.ml.models import MODELS, summary_vectors
 from inkvane.ml.search import Search, seeded, train_predict
+from inkvane.operators.embed import FILES, trained_vectors
 from inkvane.operators.features import cleaned
 from inkvane.operators.tabular import assembled, numeric
 from inkvane.plans.features import FeatureTable, Settings
 from inkvane.sources import io
+from inkvane.sources.pairs import corpus
 
 log = logging.getLogger("inkvane")
 
@@ -56,6 +58,7 @@ def parser() -> argparse.ArgumentParser:
     s = sub.add_parser("search")
     s.add_argument("--seed", type=int, default=42)
     s.add_argument("--models-names", nargs="+", choices=MODELS, default=["rfc"])
+    s.add_argument("--embeddings-name", default="glove")
     s.add_argument("--trials", type=int, default=25)
     s.add_argument("--submission", action=flag, default=True)
     s.add_argument("--metric", choices=("accuracy", "f1_weighted"), default="accuracy")
@@ -73,13 +76,19 @@ def sets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFr
     return io.read_columns_json(spark, f"{folder}/train_set.json"), io.read_columns_json(spark, f"{folder}/test_set.json", label=False), io.read_columns_json(spark, f"{folder}/documents.json", label=False, summary=False)
 
 
+def vectors_of(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
+    """(token, vec) tables of the embeddings that are read from files: embed/glove_300.txt and embed/google_300.gz."""
+    readers = {"glove": lambda: io.read_vectors(spark, f"{folder}/embed/glove_300.txt"), "google": lambda: io.read_binary_vectors(spark, f"{folder}/embed/google_300.gz")}
+    return {n: readers[n]() for n in names if n in FILES}
+
+
 def make_features(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
     train, test, more = sets(spark, a.data_path)
     settings = Settings(
         regex=a.regex_feat, idf=a.idf_feat, constants=Constants(a.idf_d, a.idf_b, a.idf_k), components=a.idf_svd, tags=a.tag_feat, ranks=a.gltr_feat, embeddings=a.embed_feat, products=a.fixed_poly_feat, interactions=a.poly_feat,
         all_interactions=a.all_poly_feat, degree=a.poly_degree, excluded=a.excl_feat, max_correlation=a.max_correlation, rescale=a.rescale_data, scaling=a.scaling_method, pca_ratio=a.pca_ratio, seed=seeded(a.seed),
     )
-    table = FeatureTable(settings).fit(train, more)
+    table = FeatureTable(settings, vectors_of(spark, a.data_path, settings.embeddings)).fit(train, more)
     out = table.transform(train), table.transform(test)
     log.info("features: %s", ", ".join(numeric(out[0])))
     if a.save_data:
@@ -106,17 +115,31 @@ def schema_of(spark: SparkSession, path: str) -> str:
 def search(spark: SparkSession, a: argparse.Namespace) -> dict[str, float]:
     train, labels, test = io.features(spark, a.data_path, a.file_suffix, schema_of(spark, f"{a.data_path}/train_{a.file_suffix}.csv"))
     columns = numeric(train)
-    rows = assembled(train.join(labels, "id"), columns).select("id", "features", F.col("label").cast("double").alias("label")).persist()
     scores = {}
     for name in a.models_names:
+        if "embed" in name:
+            rows, other = embedded_texts(spark, a)
+        else:
+            rows, other = assembled(train.join(labels, "id"), columns), assembled(test, columns)
+        rows = rows.select("id", "features", F.col("label").cast("double").alias("label")).persist()
         best = Search(name, rows, a.metric, seeded(a.seed)).run(a.trials)
         scores[name] = best.score
         log.info("%s: %.4f with %s", name, best.score, best.params)
         if a.submission:
-            io.write_submission(train_predict(name, best.params, rows, assembled(test, columns)), a.results, best.score, a.metric)
+            io.write_submission(train_predict(name, best.params, rows, other), a.results, best.score, a.metric)
+        rows.unpersist()
     return scores
 
 
+def embedded_texts(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
+    """(train, test) with summed word vectors of the summaries: read from a file by name, else trained on the corpus."""
+    train, test, more = sets(spark, a.data_path)
+    table = vectors_of(spark, a.data_path, [a.embeddings_name]).get(a.embeddings_name)
+    if table is None:
+        table = trained_vectors(corpus(train, more), seed=seeded(a.seed))[1]
+    return summary_vectors(train, table), summary_vectors(test, table)
+
+
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     logging.basicConfig(level=logging.INFO)

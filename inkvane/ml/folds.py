@@ -7,8 +7,25 @@ from pyspark.sql import functions as F
 
 
 def stratified_folds(rows: DataFrame, folds: int = 5) -> DataFrame:
-    """rows with fold (0 .. folds - 1): consecutive parts of each label in the order of id."""
-    return rows.withColumn("fold", F.ntile(folds).over(Window.partitionBy("label").orderBy("id")) - 1)
+    """rows with fold (0 .. folds - 1): consecutive parts of each label in the order of id, the first ones longer by one.
+
+    No label is gathered in one task: its ids are cut at approximate quantiles, rows are numbered within each part, and
+    the counts of the parts before are added. Only these counts, a row for each part, meet by label. ids are numbers.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = rows.groupBy("label").agg(F.percentile_approx("id", [k / parts for k in range(1, parts)] or [1.0], 10000).alias("__ends"))
+    cut = rows.join(F.broadcast(ends.withColumnRenamed("label", "__label")), F.col("label").eqNullSafe(F.col("__label"))).drop("__label")
+    cut = cut.withColumn("__part", F.size(F.filter("__ends", lambda e: e < F.col("id")))).drop("__ends")
+    own = Window.partitionBy("label")
+    sizes = cut.groupBy("label", "__part").agg(F.count("*").alias("__m"))
+    before = F.coalesce(F.sum("__m").over(own.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col("label").alias("__label"), F.col("__part").alias("__of"), before.alias("__before"), F.sum("__m").over(own).alias("__n"))
+    place = F.row_number().over(Window.partitionBy("label", "__part").orderBy("id")) - 1
+    numbered = cut.withColumn("__place", place).join(F.broadcast(sizes), F.col("label").eqNullSafe(F.col("__label")) & (F.col("__part") == F.col("__of")))
+    at, small, longer = F.col("__before") + F.col("__place"), F.floor(F.col("__n") / folds), F.col("__n") % folds
+    in_longer = at < longer * (small + 1)
+    fold = F.when(in_longer, F.floor(at / (small + 1))).otherwise(longer + F.floor((at - longer * (small + 1)) / F.greatest(small, F.lit(1))))
+    return numbered.withColumn("fold", fold.cast("int")).drop("__label", "__of", "__part", "__before", "__n", "__place")
 
 
 def hold_out(rows: DataFrame, share: float = 0.2, seed: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkvane.ml.folds import evaluated, stratified_folds
-from inkvane.ml.models import MODELS, Classifier
+from inkvane.ml.models import MODELS, Classifier, honoured
 from inkvane.operators.tabular import assembled
 
 
@@ -89,25 +89,29 @@ SPACES: dict[str, dict[str, Range | Choice]] = {
         "subsample": Range(0.2, 1.0), "subsample_freq": Range(0, 6), "reg_alpha": Range(1e-6, 1e-3, True), "reg_lambda": Range(1e-6, 1e-3, True),
     },
     "mlp": {
-        "nb_hidden_layers": Range(1, 4), "hidden_dim": Range(50, 400), "act": Choice(("sigmoid", "tanh", "relu")), "init": Choice(("uniform", "glorot_uniform")), "learning_rate": Range(5e-3, 1e-1, True),
-        "optimizer": Choice(("adam", "rmsprop")), "rho|optimizer=rmsprop": Range(0.8, 0.95), "momentum|optimizer=rmsprop": Range(0.0, 0.95), "epochs": Range(25, 100), "batch": Choice((128, 256, 512)),
+        "nb_hidden_layers": Range(1, 4), "hidden_dim": Range(50, 400), "hidden_act": Choice(("sigmoid", "tanh", "relu")), "hidden_init": Choice(("uniform", "glorot_uniform")), "learning_rate": Range(5e-3, 1e-1, True),
+        "optim_name": Choice(("adam", "rmsprop")), "rho|optim_name=rmsprop": Range(0.8, 0.95), "momentum|optim_name=rmsprop": Range(0.0, 0.95), "epochs": Range(25, 100), "batch_size": Choice((128, 256, 512)),
     },
     "embed_lstm": {
-        "bidirectional": Choice((True, False)), "lstm_layers": Range(1, 2), "lstm_dim": Range(250, 350), "dropout": Range(0.25, 0.4), "recurrent_dropout": Range(0.25, 0.4), "nb_hidden_layers": Range(1, 2), "hidden_dim": Range(400, 600),
-        "act": Choice(("tanh", "relu")), "dense_dropout": Range(0.7, 0.9), "learning_rate": Range(5e-4, 5e-3, True), "optimizer": Choice(("adam", "rmsprop")), "epochs": Range(25, 40), "batch": Choice((128, 256, 512)),
+        "bidirectional": Choice((True, False)), "nb_lstm_layers": Range(1, 2), "lstm_hidden_dim": Range(250, 350), "lstm_dropout": Range(0.25, 0.4), "lstm_recurrent_dropout": Range(0.25, 0.4),
+        "nb_mlp_layers": Range(1, 2), "mlp_hidden_dim": Range(400, 600), "mlp_hidden_act": Choice(("tanh", "relu")), "mlp_hidden_init": Choice(("uniform", "glorot_uniform")), "mlp_dropout": Range(0.7, 0.9),
+        "learning_rate": Range(5e-4, 5e-3, True), "optim_name": Choice(("adam", "rmsprop")), "rho|optim_name=rmsprop": Range(0.8, 0.95), "momentum|optim_name=rmsprop": Range(0.0, 0.95), "epochs": Range(25, 40), "batch_size": Choice((128, 256, 512)),
     },
     "stacking": {},
 }
 
 
 def sampled(name: str, rng: random.Random, near: dict[str, float] | None = None, spread: float = 0.15) -> tuple[dict[str, Any], dict[str, float]]:
-    """(parameters, their places in [0, 1)); near: places to stay close to."""
+    """(parameters, their places in [0, 1)); near: places to stay close to. Only parameters that the back end takes are sampled."""
     if name not in SPACES:
         raise ValueError(f"no model {name!r}")
+    takes = honoured(name)
     params: dict[str, Any] = {}
     places: dict[str, float] = {}
     for key, space in SPACES[name].items():
         own, _, rule = key.partition("|")
+        if takes is not None and own not in takes:
+            continue
         if rule:
             other, _, value = rule.partition("=")
             if str(params.get(other)) != value:

@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkvane.functions.sums import summed_arrays
 from inkvane.functions.weights import power
 from inkvane.plans.spec import product_feature, unique
 
@@ -90,16 +91,40 @@ def drop_list(df: DataFrame, names: list[str], errors: str = "ignore") -> DataFr
     return df.select(*[q(c) for c in df.columns if c not in names])
 
 
+def covariances(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(means, population covariances): of each pair over the rows that have both; NaN where there are none.
+
+    Two passes: means, then sums of products about them, a matrix product for each Arrow batch. Its size is the number
+    of columns squared, whatever the number of rows.
+    """
+    n = len(columns)
+    if not n:
+        return np.zeros(0), np.zeros((0, 0))
+    values = [q(c).cast("double") for c in columns]
+    means = np.array([np.nan if m is None else m for m in df.agg(*[F.avg(v) for v in values]).first()])
+
+    def products(batch):
+        x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - np.nan_to_num(means)
+        has = np.ones_like(x)
+        for i, c in enumerate(batch.columns):
+            if c.null_count:
+                empty = c.is_null().to_numpy(zero_copy_only=False)
+                x[empty, i], has[empty, i] = 0, 0
+        return np.stack([x.T @ x, x.T @ has, has.T @ has])
+
+    both, first, count = summed_arrays(df.select(*[v.alias(f"c{i}") for i, v in enumerate(values)]), products, (3, n, n))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = both / count - (first / count) * (first / count).T
+    return means, cov
+
+
 def correlations(df: DataFrame, columns: list[str] | None = None) -> np.ndarray:
-    """Pearson correlations by one aggregation; NaN for constant columns."""
+    """Pearson correlations; NaN for constant columns."""
     columns = columns if columns is not None else numeric(df)
-    values = [q(c).cast("double") for c in columns]
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    n = len(columns)
-    got = df.agg(*[F.covar_pop(values[i], values[j]) for i, j in pairs]).first() if pairs else ()
-    cov = np.full((n, n), np.nan)
-    for (i, j), v in zip(pairs, got, strict=True):
-        cov[i, j] = cov[j, i] = np.nan if v is None else v
+    _, cov = covariances(df, columns)
+    # A constant column's products about its mean are rounding errors at most.
+    low, high = (np.array(df.agg(*[f(q(c).cast("double")) for c in columns]).first(), float) if columns else np.zeros(0) for f in (F.min, F.max))
+    cov[np.diag_indices(len(columns))] = np.where(low == high, 0, np.diag(cov))
     std = np.sqrt(np.diag(cov))
     with np.errstate(divide="ignore", invalid="ignore"):
         out = cov / np.outer(std, std)
@@ -158,15 +183,10 @@ class RatioPCA:
 
     @classmethod
     def fit(cls, train: DataFrame, ratio: float, columns: list[str] | None = None) -> RatioPCA:
-        """The covariance is one aggregation; its eigenvectors are found on the driver (columns squared numbers)."""
+        """The eigenvectors of the covariance are found on the driver (columns squared numbers)."""
         columns = columns if columns is not None else numeric(train)
         n = len(columns)
-        pairs = [(i, j) for i in range(n) for j in range(i, n)]
-        v = [q(c).cast("double") for c in columns]
-        got = train.agg(*[F.avg(x) for x in v], *[F.covar_pop(v[i], v[j]) for i, j in pairs]).first()
-        cov = np.zeros((n, n))
-        for (i, j), x in zip(pairs, got[n:], strict=True):
-            cov[i, j] = cov[j, i] = x
+        means, cov = covariances(train, columns)
         values, vectors = np.linalg.eigh(cov)
         order = np.argsort(-values)
         values, vectors = np.maximum(values[order], 0), vectors[:, order]
@@ -174,7 +194,7 @@ class RatioPCA:
         k = min(n, int((np.cumsum(ratios) <= ratio).sum()) + 1)
         vectors = vectors[:, :k]
         vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(k)] < 0, -1, 1)
-        return cls(columns, list(got[:n]), vectors, ratios[:k])
+        return cls(columns, means.tolist(), vectors, ratios[:k])
 
     def transform(self, df: DataFrame) -> DataFrame:
         centred = [q(c).cast("double") - F.lit(m) for c, m in zip(self.columns, self.means, strict=True)]

@@ -25,7 +25,7 @@ from inkvane.sources import pairs as P
 
 RATIO_SPECS = ["char_ratio", "word_ratio", "upper_word_ratio"]
 COUNT_NAMES = ["char", "word", "sent", "upper_char", "upper_word", "numeric", "dash", "group", "is_first_upper", "is_last_ponct", "space_before_ponct", "word_1", "word_3", "word_10"]
-DIMS = 8  # of the numeric table made from the first components of embeddings
+DIMS = 64  # components of embeddings, each a column of a numeric table
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -212,9 +212,9 @@ def lm_topk_probs(s: SparkSession, d: str) -> DataFrame:
 
 
 def lm_postprocess(s: SparkSession, d: str) -> DataFrame:
-    words = P.table(s, d, "benchmark").select("item_id", F.split("text", " ")[0].alias("w"))
+    words = P.table(s, d, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("pos", "w"))
     marks = F.explode(F.array(*[F.lit(m) for m in ("", "Ġ", "â", "Ċ", "ľ", "Ŀ", "Ļ", "ĠĻ")]))
-    return words.select("item_id", marks.alias("mark"), "w").select("item_id", "mark", lm.postprocess(F.concat("mark", "w")).alias("shown"))
+    return words.select("item_id", "pos", marks.alias("mark"), "w").select("item_id", F.col("pos").cast("long").alias("pos"), "mark", lm.postprocess(F.concat("mark", "w")).alias("shown"))
 
 
 def _ranks(s: SparkSession, d: str, specs: list[str]) -> DataFrame:
@@ -244,7 +244,7 @@ def toy_vectors(s: SparkSession, d: str) -> DataFrame:
 
 def embed_sum(s: SparkSession, d: str) -> DataFrame:
     got = embed.summed(P.pairs(s, d), toy_vectors(s, d), "summary")
-    return got.select("id", *[F.round(F.col("vec")[i], 6).alias(f"v_{i}") for i in (0, 1, 31, 63)])
+    return got.select("id", *[F.round(F.col("vec")[i], 6).alias(f"v_{i}") for i in range(DIMS)])
 
 
 def pad_sequences(s: SparkSession, d: str) -> DataFrame:
@@ -253,7 +253,8 @@ def pad_sequences(s: SparkSession, d: str) -> DataFrame:
 
 
 def w2v_features(s: SparkSession, d: str) -> DataFrame:
-    model, _ = embed.trained_vectors(P.fit_corpus(s, d), size=16, window=5)
+    """A smaller training job than the operator's default of 300 numbers, a window of 20 and 25 iterations."""
+    model, _ = embed.trained_vectors(P.fit_corpus(s, d), size=16, window=5, iterations=1)
     return embed.transformed(model, P.pairs(s, d)).select("id", *[F.col("vec")[i].alias(f"summary_train_{i}") for i in range(16)])
 
 
@@ -362,7 +363,7 @@ def extra_trees(s: SparkSession, d: str) -> DataFrame:
 
 
 def gbt(s: SparkSession, d: str) -> DataFrame:
-    return _predicted(s, d, "lightgbm", {"n_estimators": 10})
+    return _predicted(s, d, "lightgbm", {"n_estimators": 10, "num_leaves": 16})
 
 
 def mlp(s: SparkSession, d: str) -> DataFrame:
@@ -371,7 +372,7 @@ def mlp(s: SparkSession, d: str) -> DataFrame:
 
 def stacking(s: SparkSession, d: str) -> DataFrame:
     small = {"n_estimators": 5, "max_depth": 4}
-    return _predicted(s, d, "stacking", {"folds": 3, "bases": ("rfc", "lightgbm"), "rfc": small, "lightgbm": {"n_estimators": 3}})
+    return _predicted(s, d, "stacking", {"folds": 3, "bases": ("rfc", "lightgbm"), "rfc": small, "lightgbm": {"n_estimators": 3, "num_leaves": 16}})
 
 
 def cross_validated(s: SparkSession, d: str) -> DataFrame:

@@ -84,15 +84,14 @@ def clean(t: str) -> str:
 def tag_case(x: str) -> str:
     out = f"CASE WHEN regexp_matches({x}, '^[0-9][0-9.,-]*$') THEN 'CD'"
     for tag, words in tagging.LEXICON.items():
-        out += f" WHEN lower({x}) IN ({', '.join(map(sql_str, words.split()))}) THEN '{tag}'"
-    out += f" WHEN regexp_matches({x}, '^\\p{{Lu}}') AND lower({x}) LIKE '%s' AND lower({x}) NOT LIKE '%ss' AND length({x}) > 3 THEN 'NNPS' WHEN regexp_matches({x}, '^\\p{{Lu}}') THEN 'NNP'"
+        out += f" WHEN {x} IN ({', '.join(map(sql_str, words.split()))}) THEN '{tag}'"
     for suffix, tag in tagging.SUFFIXES:
-        out += f" WHEN lower({x}) LIKE '%{suffix}' AND length({x}) > {len(suffix)} THEN '{tag}'"
+        out += f" WHEN {x} LIKE '%{suffix}' AND length({x}) > {len(suffix)} THEN '{tag}'"
     return out + " ELSE 'NN' END"
 
 
 def tagged_tokens(t: str) -> str:
-    return f"list_transform(list_filter({plain(t)}, lambda x: x <> ''), lambda x: {{'token': x, 'tag': {tag_case('x')}}})"
+    return f"list_transform(list_filter({plain(f'lower({t})')}, lambda x: x <> ''), lambda x: {{'token': x, 'tag': {tag_case('x')}}})"
 
 
 def tagged_pairs(base: str) -> str:
@@ -143,8 +142,8 @@ def hist_query(kinds: dict[str, int]) -> str:
 
 
 NUMBERS = f"{PAIRS}, x AS (SELECT id, label, {', '.join(regex_column(s) for s in ('char_count', 'word_count', 'upper_word_count', 'sent_avg'))} FROM p)"
-VECTORS = "x AS (SELECT vec_id AS id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(8)) + " FROM embeddings), y AS (SELECT *, e0 * 2 + e1 * 0.01::DOUBLE AS twice, -e0 AS minus FROM x)"
-COLUMNS = [*[f"e{i}" for i in range(8)], "twice", "minus"]
+VECTORS = "x AS (SELECT vec_id AS id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(64)) + " FROM embeddings), y AS (SELECT *, e0 * 2 + e1 * 0.01::DOUBLE AS twice, -e0 AS minus FROM x)"
+COLUMNS = [*[f"e{i}" for i in range(64)], "twice", "minus"]
 SCALED = ["char_count", "word_count", "upper_word_count", "sent_avg", "same"]
 FOLDS = (
     f"{PAIRS}, q AS (SELECT id, label, CAST(len({found('upper_word', 'summary')}) * 3 < len({found('word', 'summary')}) AS INTEGER) AS prediction FROM p), "
@@ -173,7 +172,9 @@ REGEX_DEFAULT = "char_count char_ratio word_count word_overlap word_ratio sent_a
 ALL_COUNTS = ["char", "word", "sent", "upper_char", "upper_word", "numeric", "dash", "group", "is_first_upper", "is_last_ponct", "space_before_ponct", "word_1", "word_3", "word_10"]
 TAG_NAMES = {"$_overlap": "dollar_tag_overlap", ":_overlap": "column_tag_overlap", "PRP$_count": "PRPdollar_tag_count", "''_count": "apostrophe_tag_count"}
 TOKENS = f"list_filter({plain('lower(document)')}, lambda x: regexp_matches(x, '^\\p{{L}}+$') AND NOT list_contains([{', '.join(map(sql_str, STOP_WORDS))}], x))"
-SUMMARY_TOKENS = f"list_filter({plain('lower(summary)')}, lambda x: regexp_matches(x, '^\\p{{L}}+$'))"
+SUMMARY_TOKENS = TOKENS.replace("document", "summary")
+FILTERED = "translate(lower(summary), '!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~' || chr(9) || chr(10), repeat(' ', 33))"
+SEQUENCE = f"list_filter(string_split({FILTERED}, ' '), lambda x: x <> '')"
 WEIGHTS = {
     "n": "tf", "w": "1 + ln(tf)", "l": "1 + ln(1 + ln(tf))", "d": "tf + 0.1::DOUBLE", "p": "tf / (0.5::DOUBLE + 0.5::DOUBLE * (n / m))", "k": "2.0::DOUBLE * tf / (1 + tf)",
     "wdk": "2.0::DOUBLE * (1.1::DOUBLE + ln(tf)) / (2.1::DOUBLE + ln(tf))",
@@ -217,8 +218,8 @@ SQL = {
     "lm_rank": f"WITH {RANKED} SELECT id, count(*) AS tokens, count(rank) AS known, CAST(coalesce(sum(rank), 0) AS BIGINT) AS ranks, round(avg(prob), 6) AS mean_prob FROM r GROUP BY id",
     "lm_topk": f"WITH {BIGRAMS} SELECT prev, token, rank, prob FROM m WHERE rank < 5",
     "lm_topk_probs": f"WITH {BIGRAMS} SELECT prev, token, round(c / CAST(sum(c) OVER (PARTITION BY prev) AS DOUBLE), 6) AS prob FROM m WHERE rank < 5",
-    "lm_postprocess": "WITH w AS (SELECT item_id, unnest(['', 'Ġ', 'â', 'Ċ', 'ľ', 'Ŀ', 'Ļ', 'ĠĻ']) AS mark, split_part(text, ' ', 1) AS w FROM benchmark) "
-    "SELECT item_id, mark, CASE mark WHEN '' THEN w WHEN 'Ġ' THEN 'Ġ' || w WHEN 'â' THEN ' ' WHEN 'Ċ' THEN 'Ċ ' WHEN 'ľ' THEN '“' WHEN 'Ŀ' THEN '”' WHEN 'Ļ' THEN '''' ELSE 'Ġ''' END AS shown FROM w",
+    "lm_postprocess": "WITH x AS (SELECT item_id, string_split(text, ' ') AS x FROM benchmark), y AS (SELECT item_id, unnest(x) AS w, generate_subscripts(x, 1) - 1 AS pos FROM x), w AS (SELECT item_id, pos, unnest(['', 'Ġ', 'â', 'Ċ', 'ľ', 'Ŀ', 'Ļ', 'ĠĻ']) AS mark, w FROM y) "
+    "SELECT item_id, pos, mark, CASE mark WHEN '' THEN w WHEN 'Ġ' THEN 'Ġ' || w WHEN 'â' THEN ' ' WHEN 'Ċ' THEN 'Ċ ' WHEN 'ľ' THEN '“' WHEN 'Ŀ' THEN '”' WHEN 'Ļ' THEN '''' ELSE 'Ġ''' END AS shown FROM w",
     "gltr_count_hist": hist_query({"count": 4}),
     "gltr_frac_hist": hist_query({"frac": 10}),
     "gltr_features": hist_query({"logcount": 4, "frac": 4}),
@@ -227,8 +228,8 @@ SQL = {
     f"y AS (SELECT id, token, count(*) AS c FROM (SELECT id, unnest({SUMMARY_TOKENS}) AS token FROM p) GROUP BY id, token), "
     "u AS (SELECT id, i, sum(c * CAST(vec[i] AS DOUBLE)) AS x FROM (SELECT id, c, vec, unnest(generate_series(1, 64)) AS i FROM y JOIN z ON y.token = z.token) GROUP BY id, i), "
     "l AS (SELECT id, sqrt(sum(x * x)) AS l FROM u GROUP BY id) "
-    "SELECT p.id, " + ", ".join(f"coalesce(round(max(CASE WHEN i = {k + 1} THEN x / l END), 6), 0.0) AS v_{k}" for k in (0, 1, 31, 63)) + " FROM p LEFT JOIN u ON p.id = u.id LEFT JOIN l ON p.id = l.id GROUP BY p.id",
-    "pad_sequences": rf"WITH {PAIRS}, a AS (SELECT id, regexp_extract_all(lower(summary), '{W}{{2,}}') AS w FROM p), n AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS k FROM (SELECT unnest(w) AS token FROM a WHERE id % 5 <> 0) GROUP BY token), "
+    "SELECT p.id, " + ", ".join(f"coalesce(round(max(CASE WHEN i = {k + 1} THEN x / l END), 6), 0.0) AS v_{k}" for k in range(64)) + " FROM p LEFT JOIN u ON p.id = u.id LEFT JOIN l ON p.id = l.id GROUP BY p.id",
+    "pad_sequences": rf"WITH {PAIRS}, a AS (SELECT id, {SEQUENCE} AS w FROM p), n AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS k FROM (SELECT unnest(w) AS token FROM a WHERE id % 5 <> 0) GROUP BY token), "
     "q AS (SELECT id, list(k ORDER BY i) AS s FROM (SELECT id, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM a) x JOIN n ON x.token = n.token GROUP BY id), "
     "j AS (SELECT p.id, coalesce(s, []) AS s FROM p LEFT JOIN q ON p.id = q.id) SELECT id, array_to_string(list_concat(list_transform(generate_series(1, greatest(70 - len(s), 0)), lambda x: 0), s[greatest(len(s) - 69, 1):]), ' ') AS sequence FROM j",
     "poly_power": f"WITH {NUMBERS} SELECT id, round(pow(word_count, 2), 6) AS word_count_2, round(pow(sent_avg, 3), 6) AS sent_avg_3 FROM x",

@@ -12,17 +12,18 @@ _CSV = {"header": True, "multiLine": True, "escape": '"', "quote": '"', "ignoreL
 
 
 def read_columns_json(spark: SparkSession, path: str, label: bool = True, summary: bool = True) -> DataFrame:
-    """JSON of the layout {column: {id: value}} as rows (id, document[, summary][, label])."""
+    """JSON of the layout {column: {id: value}} as rows (id, document[, summary][, label]); the columns are joined by their keys.
+
+    The layout is one value a file, read by one task: write records or Parquet where files are large.
+    """
     columns = ["document", *(["summary"] if summary else [])]
     schema = ", ".join(f"{c} map<string,string>" for c in columns) + (", label map<string,int>" if label else "")
     raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    rows = raw.select("*", F.explode("document").alias("key", "value"))
-    out = [F.col("key").cast("long").alias("id"), F.col("value").alias("document")]
-    if summary:
-        out.append(F.element_at("summary", F.col("key")).alias("summary"))
-    if label:
-        out.append(F.element_at("label", F.col("key")).alias("label"))
-    return rows.select(*out)
+    rows = raw.select(F.explode("document").alias("key", "document"))
+    for c, wanted in (("summary", summary), ("label", label)):
+        if wanted:
+            rows = rows.join(raw.select(F.explode(c).alias("key", c)), "key", "left")
+    return rows.select(F.col("key").cast("long").alias("id"), *[c for c in rows.columns if c != "key"])
 
 
 def read_records_json(spark: SparkSession, path: str, schema: str = "id long, document string, summary string, label int") -> DataFrame:
@@ -56,7 +57,7 @@ def read_vectors(spark: SparkSession, path: str, dims: int = 300) -> DataFrame:
 
 
 def read_binary_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(token, vec) of word2vec binary files, streamed from Spark's reader; .gz is opened."""
+    """(token, vec) of word2vec binary files; .gz is opened as it is read. A file is one value of Spark's reader: 2 GB at most."""
     import gzip
     import io
 
@@ -70,12 +71,16 @@ def read_binary_vectors(spark: SparkSession, path: str) -> DataFrame:
                 data = gzip.open(data) if name.endswith(".gz") else data
                 n, dims = map(int, data.readline().split())
                 out: list[tuple[str, list[float]]] = []
+                held, at = b"", 0
                 for _ in range(n):
-                    token = bytearray()
-                    while (c := data.read(1)) not in (b" ", b""):
-                        if c != b"\n":
-                            token += c
-                    out.append((token.decode("utf-8", "replace"), np.frombuffer(data.read(4 * dims), "<f4").tolist()))
+                    while (space := held.find(b" ", at)) < 0 or len(held) < space + 1 + 4 * dims:
+                        more = data.read(1 << 20)
+                        if not more:
+                            raise ValueError(f"{name} ends before its {n} vectors")
+                        held, at = held[at:] + more, 0
+                    vec = np.frombuffer(held, "<f4", dims, space + 1).tolist()
+                    out.append((held[at:space].lstrip(b"\n").decode("utf-8", "replace"), vec))
+                    at = space + 1 + 4 * dims
                     if len(out) == 5000:
                         yield pd.DataFrame(out, columns=["token", "vec"])
                         out = []

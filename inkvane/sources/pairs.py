@@ -39,7 +39,11 @@ def corpus(train: DataFrame, more: DataFrame | None) -> DataFrame:
 
 
 def fit_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(train_test(spark, sf_dir)[0], more_docs(spark, sf_dir))
+    """What the library's queries fit on: documents whose label is no test label, by one join."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("labelled"))
+    rows = docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("id"), F.col("text").alias("document"), "labelled")
+    return rows.where(F.col("labelled").isNull() | ~is_test()).select("id", "document")
 
 
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ def test_language_model(spark):
     docs = spark.createDataFrame([(1, "aa bb aa bb aa cc")], "id long, document string")
     model = lm.BigramModel.fit(docs)
     got = model.check_probabilities(spark.createDataFrame([(7, "aa bb dd")], "id long, summary string"), "summary", 1).first()
-    assert got["bpe_strings"] == ["aa", "bb", "dd"]
+    assert got["bpe_strings"] == ["<s>", "aa", "bb", "dd"]
     assert [tuple(x) for x in got["real_topk"]] == [(0, 1.0), (0, 0.66667), (None, 0.0)]
     assert [[tuple(y) for y in x] for x in got["pred_topk"]] == [[("aa", 1.0)], [("bb", 0.66667)], [("aa", 1.0)]]
     assert 1 <= len(model.sample(5, seed=1)) <= 5  # it ends where nothing follows
