@@ -200,7 +200,7 @@ def _bigram(s: SparkSession, d: str) -> lm.BigramModel:
 
 def lm_rank(s: SparkSession, d: str) -> DataFrame:
     got = _bigram(s, d).ranked(P.pairs(s, d), "summary")
-    return rounded(got.groupBy("id").agg(F.count("*").alias("tokens"), F.count("rank").alias("known"), F.coalesce(F.sum("rank"), F.lit(0)).alias("ranks"), F.avg("prob").alias("mean_prob")))
+    return rounded(got.groupBy("id").agg(F.count("*").alias("tokens"), F.count("rank").alias("known"), F.coalesce(F.sum("rank"), F.lit(0)).alias("ranks"), F.sum("prob").alias("sum_prob")))
 
 
 def lm_topk(s: SparkSession, d: str) -> DataFrame:

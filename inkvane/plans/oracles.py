@@ -215,7 +215,7 @@ SQL = {
     "tag_overlap": tag_query(CONV, "conv_id, turn", ["DT_overlap", "NN_overlap"]),
     "tag_ratio": tag_query(CONV, "conv_id, turn", ["DT_ratio", "CD_ratio"]),
     "tag_features": tag_query(PAIRS, "id, label", "DT_count DT_overlap MD_count NN_overlap RB_count $_overlap :_overlap".split()),
-    "lm_rank": f"WITH {RANKED} SELECT id, count(*) AS tokens, count(rank) AS known, CAST(coalesce(sum(rank), 0) AS BIGINT) AS ranks, round(avg(prob), 6) AS mean_prob FROM r GROUP BY id",
+    "lm_rank": f"WITH {RANKED} SELECT id, count(*) AS tokens, count(rank) AS known, CAST(coalesce(sum(rank), 0) AS BIGINT) AS ranks, round(sum(prob), 6) AS sum_prob FROM r GROUP BY id",
     "lm_topk": f"WITH {BIGRAMS} SELECT prev, token, rank, prob FROM m WHERE rank < 5",
     "lm_topk_probs": f"WITH {BIGRAMS} SELECT prev, token, round(c / CAST(sum(c) OVER (PARTITION BY prev) AS DOUBLE), 6) AS prob FROM m WHERE rank < 5",
     "lm_postprocess": "WITH x AS (SELECT item_id, string_split(text, ' ') AS x FROM benchmark), y AS (SELECT item_id, unnest(x) AS w, generate_subscripts(x, 1) - 1 AS pos FROM x), w AS (SELECT item_id, pos, unnest(['', 'Ġ', 'â', 'Ċ', 'ľ', 'Ŀ', 'Ļ', 'ĠĻ']) AS mark, w FROM y) "
