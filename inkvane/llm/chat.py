@@ -64,8 +64,8 @@ def messages(events: DataFrame) -> DataFrame:
 
 def render(turns: DataFrame) -> DataFrame:
     """(conv_id, formatted, spans) from (conv_id, turn, role, text); spans: start, end (exclusive), loss of each turn's text."""
-    role, text = escaped(F.col("role")), escaped(F.col("text"))
-    t = turns.select("conv_id", "turn", role.alias("r"), text.alias("x"), (F.col("role") == LOSS_ROLE).alias("loss"))
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    t = turns.select("conv_id", "turn", escaped(role).alias("r"), escaped(text).alias("x"), (role == LOSS_ROLE).alias("loss"))
     t = t.withColumn("piece", F.concat(F.lit(START), "r", F.lit(MIDDLE), "x", F.lit(END)))
     before = F.sum(F.length("piece")).over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn")))
     t = t.withColumn("start", before - F.length("piece") + F.length("r") + len(START) + len(MIDDLE))

@@ -6,7 +6,9 @@ passage within k edits holds one piece unchanged. An automaton finds every exact
 document, each hit proposes where the item would begin, and Myers' bit-parallel distance over that stretch decides.
 
 No shuffle: documents stream past the automaton. Items go to the workers in slices of at most ``slice_chars``
-characters, so their size on a worker is bounded however large the benchmark is.
+characters, each a broadcast of its own: the driver and a worker hold one slice at a time, however large the benchmark
+is. ``leaks`` reads the texts once for each slice, ``without_leaks`` once; a benchmark of up to ``SLICE_CHARS``
+characters, some 20,000 items, is one slice.
 
 Null or empty texts match nothing; items without a word are skipped, and items too short for an
 edit must stand as whole words; equal items are reported each under its own id;
@@ -144,8 +146,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> Da
     parts = []
     for items in slices(benchmark):
 
-        def find(batches, items=items):
-            matcher = Matcher(items, rate)
+        sent = docs.sparkSession.sparkContext.broadcast(items)  # at most SLICE_CHARS characters; kept on disk, not by the driver's Python
+        del items
+
+        def find(batches, sent=sent):
+            matcher = Matcher(sent.value, rate)
             for batch in batches:
                 found = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -164,11 +169,12 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
     """docs less every row whose text holds a test item; all columns stay. One pass over the texts."""
     spark = docs.sparkSession
     arrow_bytes(spark)
-    lists = list(slices(benchmark))
-    for items in lists:
+    for items in slices(benchmark):
+        sent = spark.sparkContext.broadcast(items)
+        del items
 
-        def keep(batches, items=items):
-            matcher = Matcher(items, rate)
+        def keep(batches, sent=sent):
+            matcher = Matcher(sent.value, rate)
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text"))
                 yield batch.filter(pa.array([not matcher.hits(normal(t.as_py())) for t in texts], pa.bool_()))

@@ -37,7 +37,7 @@ from inkvane.llm.vectors import Groups
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 4
 STEP, TOLERANCE = 16, 1e-6
-TILE, TEXT_TILE, BUNDLE = 4096, 1024, 1000
+TILE, TEXT_TILE, BUNDLE = 2048, 1024, 1000
 BUCKET_PAIRS = 250_000
 _MULTIPLIERS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1))[:, None]
 

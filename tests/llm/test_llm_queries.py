@@ -89,17 +89,70 @@ def test_token_shards_of_odd_rows(spark, odd, empty, tmp_path):
     assert wavelet.token_table(empty, wavelet.tokenizer_path()).count() == 0
 
 
+def leaks_by_hand(documents, items, rate=0.06):
+    """{(doc, item): least edit distance} of every document and every item, by the whole table of distances: no pieces.
+
+    The texts lie side by side with gaps no passage can cross; a row of the table is one step over all of them.
+    """
+    plain = lambda t: " ".join(re.findall(r"\w+", (t or "").lower()))
+    wall, line, spans = 500, [], {}
+    for d, t in documents:
+        codes = [ord(c) for c in plain(t)]
+        spans[d] = (len(line) + 1, len(line) + 1 + len(codes))
+        line += codes + [-1] * wall
+    line = np.array(line, np.int32)
+    steps, out = np.arange(len(line) + 1, dtype=np.int32), {}
+    for i, x in items:
+        item = plain(x)
+        row = np.zeros(len(line) + 1, np.int32)
+        for c in item:
+            new = row + 1
+            np.minimum(new[1:], row[:-1] + (line != ord(c)), out=new[1:])
+            row = np.minimum.accumulate(new - steps) + steps
+        most = int(len(item) * rate)
+        for d, (a, b) in spans.items():
+            if item and b > a and row[a - 1 : b].min() <= most:
+                out[d, i] = int(row[a - 1 : b].min())
+    return out
+
+
+def edited(text, rng, n):
+    """text with n random edits."""
+    out = list(text)
+    for _ in range(n):
+        at = rng.randrange(len(out))
+        kind = rng.randrange(3)
+        out[at : at + 1] = [] if kind == 0 else [out[at], rng.choice("abc ")] if kind == 1 else [rng.choice("xyz")]
+    return "".join(out)
+
+
 def test_leaks(spark, data, documents, duck):
+    """Every document against every item by brute force, edited passages too."""
+    import random
+
+    rng = random.Random(4)
     items = duck.execute("SELECT item_id, text FROM benchmark").fetchall()
-    got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op5_decontaminate"](spark, data).collect()}
-    whole = {(d, i) for d, t, _ in documents for i, x in items if t and decontaminate.normal(x) in decontaminate.normal(t)}
-    assert whole <= got
-    matcher = decontaminate.Matcher(items)
-    texts = dict((d, t) for d, t, _ in documents)
-    for d, i in list(got - whole):
-        item = decontaminate.normal(dict(items)[i])
-        assert decontaminate.myers(decontaminate.masks(item), len(item), decontaminate.normal(texts[d]), decontaminate.budget(len(item)))
-    assert matcher.items
+    rows = [(d, t) for d, t, _ in documents]
+    want = leaks_by_hand(rows, items)
+    assert {(r["doc_id"], r["item_id"]): r["distance"] for r in QUERIES["op5_decontaminate"](spark, data).collect()} == want and want
+    planted = [(10**6 + n, f"{rows[n][1] or ''} {edited(items[n % len(items)][1], rng, n % 30)} and so on") for n in range(60)]
+    want = leaks_by_hand(planted, items)
+    docs = spark.createDataFrame(planted, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.leaks(docs, bench).collect()} == want
+    assert 10 < len([k for k in want if want[k]])
+    kept = {r["doc_id"] for r in decontaminate.without_leaks(docs, bench).collect()}
+    assert kept == {d for d, _ in planted} - {d for d, _ in want} and kept
+
+
+def test_leaks_in_slices(spark, odd, benchmark, monkeypatch):
+    """A benchmark of several slices."""
+    whole = sorted(map(str, decontaminate.leaks(odd, benchmark).collect()))
+    given = decontaminate.slices
+    monkeypatch.setattr(decontaminate, "slices", lambda b: given(b, 15))
+    assert len(list(decontaminate.slices(benchmark))) > 1
+    assert sorted(map(str, decontaminate.leaks(odd, benchmark).collect())) == whole
+    assert sorted(r["doc_id"] or -1 for r in decontaminate.without_leaks(odd, benchmark).collect()) == [-1, 4, 5, 6, 9, 10]
 
 
 def test_leaks_of_odd_rows(odd, empty, benchmark):
@@ -490,7 +543,7 @@ def test_chat_folds_events(spark):
 def test_chat_round_trip(spark):
     texts = ["", "</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>x<|im_sep|>", "\\<\\[\\\\", "a<\\b", "😀é\n\n", "[", "<", "\\", None]
     turns = spark.createDataFrame([(1, i, "assistant" if i % 2 else "us<er", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
-    out = chat.render(turns.fillna(""))
+    out = chat.render(turns)
     row = chat.parsed(out).first()
     assert [(t["role"], t["text"]) for t in row["turns"]] == [("assistant" if i % 2 else "us<er", t or "") for i, t in enumerate(texts)]
     assert [t["loss"] for t in row["turns"] if t["loss"] is not None] == [t or "" for t in texts[1::2]]
@@ -526,11 +579,43 @@ def test_pipeline(spark, data, documents, duck):
     kept = sorted(r[0] for r in two.select("doc_id").collect())
     assert kept == by_hand
     three = steps[2](spark, two, data)
-    items = [decontaminate.normal(x) for (x,) in duck.execute("SELECT text FROM benchmark").fetchall()]
+    items = duck.execute("SELECT item_id, text FROM benchmark").fetchall()
+    leaking = {d for d, _ in leaks_by_hand([(d, texts[d]) for d in kept], items)}
     clean = sorted(r[0] for r in three.select("doc_id").collect())
-    assert three.columns == columns and set(clean) <= {d for d in kept if not any(i in decontaminate.normal(texts[d]) for i in items)}
+    assert three.columns == columns and clean == [d for d in kept if d not in leaking] and leaking
     four = steps[3](spark, three, data)
-    assert four.columns == columns and {r[0] for r in four.select("doc_id").collect()} == set(clean)
-    last = steps[4](spark, four, data)
-    run = corpus_pipeline.run(spark, data)
-    assert sorted(map(tuple, run.collect())) == sorted(map(tuple, last.collect())) and run.count() == four.count()
+    counts = {r["doc_id"]: r["count"] for r in four.groupBy("doc_id").count().collect()}
+    assert four.columns == columns and set(counts) == set(clean) and set(counts.values()) <= {1, 2}
+    # Small sources are repeated, none more than 1.5 times in the mean; the largest is read once.
+    words, source = {d: len((texts[d] or "").split()) for d in clean}, {d: s for d, _, s in documents}
+    sizes, passes = {}, {}
+    for d in clean:
+        sizes[source[d]] = sizes.get(source[d], 0) + words[d]
+        passes[source[d]] = passes.get(source[d], 0) + words[d] * counts[d]
+    assert all(sizes[s] <= passes[s] <= 1.5 * sizes[s] + max(words.values()) for s in sizes)
+    assert passes[max(sizes, key=sizes.get)] == max(sizes.values())
+    # The last stage against the tokenizer itself, and run() against the stages.
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(wavelet.tokenizer_path())
+    want, start = [], 0
+    for d in sorted(counts):
+        ids = np.array([*tokenizer.encode(texts[d] or "", add_special_tokens=False).ids, 1], "<u4")
+        for _ in range(counts[d]):
+            want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
+            start += len(ids)
+    last = steps[4](spark, four, data).select("doc_id", "start", "n_tokens", "ids_crc32")
+    assert sorted(map(tuple, last.collect())) == want
+    run = corpus_pipeline.run(spark, data).select("doc_id", "start", "n_tokens", "ids_crc32")
+    assert sorted(map(tuple, run.collect())) == want
+
+
+def test_pipeline_stages_of_odd_rows(spark, odd, empty, data):
+    """Null and repeated ids, null, empty and long texts, clashing columns, and no rows at all."""
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        for docs in (odd, empty):
+            got = stage(spark, docs, data)
+            assert got.columns == docs.columns
+            assert {(r["doc_id"], r["text"]) for r in got.collect()} <= {(r[0], r[1]) for r in ODD}
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, odd, data).count() == len(ODD) and last(spark, empty, data).count() == 0
