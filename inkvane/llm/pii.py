@@ -5,8 +5,10 @@ Regular expressions propose spans, validators confirm them, and context words ne
 - Base kinds, always reported once valid: ``email``; ``ip`` (parts at most 255); ``card`` (14 to 19 digits, Luhn);
   ``phone`` (international, 10 to 15 digits). Matches are leftmost and do not overlap within a kind; one that fails its
   validator is dropped, and nothing else is tried in its place.
-- Added kinds, reported from a score of 0.5: ``iban`` (mod-97) and ``ssn`` (three groups of digits; weak by form, so it
-  needs a context word before it).
+- Added kinds, reported from a score of 0.5: ``iban`` and ``iban_grouped`` (in groups of four), confirmed by mod-97;
+  ``key`` (headers of private keys and access keys of known forms); ``ssn`` (three groups of digits) and ``secret`` (20 or
+  more letters, digits, ``_`` and ``-``, with a letter and a digit), both weak by form: they need a context word before
+  them.
 
 The patterns below match what their plain forms would, but begin only where a run of characters begins and never give
 back what they took, so a text of any length takes time in proportion to it. Positions come from the lengths of the gaps
@@ -32,10 +34,13 @@ PATTERNS = {
     "phone": (r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]"),
     "iban": (r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])"),
     "ssn": (r"[0-9]-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    "iban_grouped": (r"[A-Z]{2}[0-9]{2} [A-Z0-9]{4} ", r"[A-Z]{2}[0-9]{2}( [A-Z0-9]{4}){2,7}( [A-Z0-9]{1,3})?"),
+    "key": (r"PRIVATE KEY-----|AKIA[0-9A-Z]|gh[pousr]_", r"-----BEGIN [A-Z ]*PRIVATE KEY-----|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}"),
+    "secret": (r"[A-Za-z0-9_-]{20}", r"[A-Za-z0-9_-]{20,}+"),
 }
 BASE = ("email", "ip", "card", "phone")
 #: Score by form and validator, and context words that add CONTEXT to it.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3, "iban_grouped": 0.9, "key": 0.9, "secret": 0.3}
 WORDS = {
     "email": "mail|contact|kontakt|correo|courriel",
     "ip": "ip|address|server|host",
@@ -43,6 +48,9 @@ WORDS = {
     "phone": "phone|tel|call|mobile|telefon|llamar",
     "iban": "iban|bank|account|konto|cuenta|compte",
     "ssn": "ssn|social security",
+    "iban_grouped": "iban|bank|account|konto|cuenta|compte",
+    "key": "key|secret|token|credential",
+    "secret": "token|secret|passw|api.?key|access.?key|credential",
 }
 CONTEXT, NEAR, LEAST = 0.3, 40, 0.5
 
@@ -76,7 +84,9 @@ def valid(kind: str, value: Column) -> Column:
         return F.when(F.length(digits).between(14, 19), luhn(digits)).otherwise(False)
     if kind == "phone":
         return F.length(digits).between(10, 15)
-    return mod97(value) if kind == "iban" else F.lit(True)
+    if kind == "secret":
+        return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    return mod97(F.replace(value, F.lit(" "), F.lit(""))) if kind.startswith("iban") else F.lit(True)
 
 
 def proposed(kind: str, text: Column) -> tuple[Column, Column]:
@@ -141,7 +151,11 @@ def _oracle() -> str:
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
         "iban": r"[A-Za-z0-9]+",
         "ssn": r"[0-9-]+",
+        "iban_grouped": PATTERNS["iban_grouped"][1],
+        "key": PATTERNS["key"][1],
+        "secret": r"[A-Za-z0-9_-]+",
     }
+    before = "lower(substring(t, CAST(greatest(start - 39, 1) AS BIGINT), CAST(least(start, 40) AS BIGINT)))"
     finds = " UNION ALL ".join(
         f"SELECT doc_id, t, {i} AS rank, '{k}' AS kind, unnest(list_zip(generate_series(1, len(m)), m)) AS x, m, g FROM "
         f"(SELECT doc_id, t, regexp_extract_all(t, '{p}', 0) AS m, string_split_regex(t, '{p}') AS g FROM d)"
@@ -153,7 +167,7 @@ def _oracle() -> str:
     s AS (SELECT doc_id, t, rank, kind, x[2] AS v,
                  list_sum(list_transform(g[1:x[1]], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:x[1]-1], lambda y: length(y))), 0) AS start,
                  regexp_replace(x[2], '[^0-9]', '', 'g') AS digits FROM f
-          WHERE kind IN ('email', 'ip', 'card', 'phone') OR (kind = 'iban' AND regexp_full_match(x[2], '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}'))
+          WHERE kind IN ('email', 'ip', 'card', 'phone', 'iban_grouped', 'key') OR (kind = 'secret' AND length(x[2]) >= 20) OR (kind = 'iban' AND regexp_full_match(x[2], '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}'))
              OR (kind = 'ssn' AND regexp_full_match(x[2], '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}'))),
     k AS (SELECT doc_id, rank, kind, CAST(start AS BIGINT) AS start, CAST(start + length(v) AS BIGINT) AS stop FROM s WHERE CASE kind
         WHEN 'email' THEN true
@@ -163,9 +177,11 @@ def _oracle() -> str:
                  WHEN CAST(digits[length(digits) - i + 1] AS INTEGER) > 4 THEN 2 * CAST(digits[length(digits) - i + 1] AS INTEGER) - 9
                  ELSE 2 * CAST(digits[length(digits) - i + 1] AS INTEGER) END)) % 10 = 0
         WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
-        WHEN 'iban' THEN list_reduce(list_prepend(0, list_transform(string_split(v[5:] || v[1:4], ''), lambda c: ascii(c))), lambda a, c:
-            (CASE WHEN c >= 65 THEN a * 100 + c - 55 ELSE a * 10 + c - 48 END) % 97) = 1
-        ELSE regexp_matches(lower(substring(t, CAST(greatest(start - 39, 1) AS BIGINT), CAST(least(start, 40) AS BIGINT))), 'ssn|social security') END)
+        WHEN 'key' THEN true
+        WHEN 'secret' THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND regexp_matches({before}, '{WORDS["secret"]}')
+        WHEN 'ssn' THEN regexp_matches({before}, '{WORDS["ssn"]}')
+        ELSE list_reduce(list_prepend(0, list_transform(string_split(replace(v, ' ', '')[5:] || v[1:4], ''), lambda c: ascii(c))), lambda a, c:
+            (CASE WHEN c >= 65 THEN a * 100 + c - 55 ELSE a * 10 + c - 48 END) % 97) = 1 END)
     SELECT d.doc_id, {", ".join(f"count(CASE WHEN kind = '{b}' THEN 1 END) AS n_{b}" for b in BASE)},
            sha256(coalesce(string_agg(CASE WHEN rank < 4 THEN kind || ':' || start || ':' || stop END, ',' ORDER BY start, rank), '')) AS base_sha256,
            coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '') AS spans

@@ -31,7 +31,8 @@ from inkvane.llm.common import arrow_bytes, read
 BLOCK = 1024
 DICTIONARY_BYTES = 65536
 SAMPLE_DOCS, SAMPLE_BYTES = 2000, 32768
-RIDGE = 1e-4
+#: The penalty's strength, as of so many labelled texts: 1e-4 for 2000.
+RIDGE = 0.2
 THRESHOLD = 0.7
 
 
@@ -48,7 +49,7 @@ def _dictionary(texts: list[bytes], size: int) -> zstandard.ZstdCompressionDict:
         return zstandard.ZstdCompressionDict(b"".join(blocks)[-size:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def logistic(a: np.ndarray, y: np.ndarray, pull: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+def logistic(a: np.ndarray, y: np.ndarray, pull: np.ndarray, ridge: float) -> np.ndarray:
     """Weights of a logistic regression by Newton's method; a step that does not improve the loss is halved."""
 
     def loss(w):
@@ -69,9 +70,9 @@ def logistic(a: np.ndarray, y: np.ndarray, pull: np.ndarray, ridge: float = RIDG
 
 
 class CompressionModel:
-    def __init__(self, good: bytes = b"", bad: bytes = b"", raw: tuple[bool, bool] = (False, False), mean=None, scale=None, weights=None, share: float = 1.0):
+    def __init__(self, good: bytes = b"", bad: bytes = b"", raw: tuple[bool, bool] = (False, False), mean=None, scale=None, ends=None, weights=None, share: float = 1.0):
         self.good, self.bad, self.raw = good, bad, raw
-        self.mean, self.scale, self.weights, self.share = mean, scale, weights, share
+        self.mean, self.scale, self.ends, self.weights, self.share = mean, scale, ends, weights, share
         self._pressers = None
 
     def __getstate__(self):
@@ -94,7 +95,8 @@ class CompressionModel:
         return [off.sum() / total, (off / (n + 32)).min(), min(g.sum(), b.sum()) / total, (off / np.maximum(1, np.maximum(b, g))).mean(), total**-0.5]
 
     def _inputs(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.mean) / self.scale
+        # Beyond what the fit has seen, as where a text is in a dictionary, squares would mislead.
+        z = (np.clip(x, *self.ends) - self.mean) / self.scale
         squares = [z[:, i] * z[:, j] for i in range(z.shape[1]) for j in range(i + 1)]
         return np.column_stack([z, *squares, np.ones(len(z))])
 
@@ -109,11 +111,11 @@ class CompressionModel:
         out = cls(good.as_bytes(), bad.as_bytes(), tuple(d.as_bytes()[:4] != b"\x37\xa4\x30\xec" for d in (good, bad)), share=share)
         x = np.array([out.features(t) for t, _ in rows])
         y = np.array([float(k) for _, k in rows])
-        out.mean, out.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+        out.mean, out.scale, out.ends = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9), (x.min(axis=0), x.max(axis=0))
         a = out._inputs(x)
         ones = y.sum()
         pull = np.where(y == 1, share / max(ones, 1), (1 - share) / max(len(y) - ones, 1))
-        out.weights = logistic(a, y, pull)
+        out.weights = logistic(a, y, pull, RIDGE / len(y))
         return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:

@@ -41,11 +41,9 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def unit_rows(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of usable vectors and the vectors as unit rows; all of one length."""
-    if not lists:
-        return np.zeros(0, int), np.zeros((0, 0))
-    x = np.array(lists, float)
+def unit_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of usable vectors (rows of x) and these as unit rows."""
+    x = np.asarray(x, float)
     norm = np.sqrt((x * x).sum(axis=1))
     good = np.isfinite(norm) & (norm > 0)
     return np.flatnonzero(good), x[good] / norm[good, None]
@@ -94,7 +92,8 @@ def fitted(vectors: DataFrame, threshold: float, margin: float | None = None) ->
         return Cells(np.zeros((0, 0)), 0.0)
     dims, n = lengths[0]
     some = ok.where(F.size("embedding") == dims).orderBy(F.xxhash64(F.lit("cells"), "vec_id"), "vec_id").limit(FIT_ROWS).select("embedding")
-    _, x = unit_rows([r for r in some.toPandas()["embedding"] if r is not None and all(v is not None for v in r)])
+    rows = [r[0] for r in some.collect() if None not in r[0]]
+    _, x = unit_rows(np.array(rows, float).reshape(len(rows), dims))
     most = min(max(1, n // CELL_ROWS), MOST_CELLS, len(x))
     if most == 0:
         return Cells(np.zeros((0, 0)), 0.0)
@@ -118,16 +117,21 @@ def work(cells: Cells, x: np.ndarray, n: int) -> float:
 def members(batches, cells: Cells, kind=float):
     """(vec_ids, vectors, row, cell, at home) of each batch and each length of vectors."""
     for batch in batches:
-        ids, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        by: dict[int, list[int]] = {}
-        for i, v in enumerate(lists):
-            if v and ids[i] is not None and None not in v:
-                by.setdefault(len(v), []).append(i)
-        for rows in by.values():
-            good, x = unit_rows([lists[i] for i in rows])
+        ids, lists = batch.column(0), batch.column(1)
+        use = ~(ids.is_null().to_numpy(zero_copy_only=False) | lists.is_null().to_numpy(zero_copy_only=False))
+        offsets, values = lists.offsets.to_numpy(), lists.values
+        flat, empty = values.to_numpy(zero_copy_only=False), values.is_null().to_numpy(zero_copy_only=False)
+        sizes = np.where(use, np.diff(offsets), 0)
+        ids = ids.fill_null(0).to_numpy()
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            rows = np.flatnonzero(sizes == size)
+            at = offsets[rows][:, None] + np.arange(size)
+            whole = ~empty[at].any(axis=1)
+            rows, at = rows[whole], at[whole]
+            own = flat[at].astype(kind)
+            good, x = unit_rows(own)
             if len(good):
-                own = np.array([lists[rows[g]] for g in good], kind)
-                yield (np.array([ids[rows[g]] for g in good], np.int64), own, *cells.of(x))
+                yield (ids[rows[good]], own[good], *cells.of(x))
 
 
 def block_of(ids: np.ndarray, blocks: int) -> np.ndarray:

@@ -12,6 +12,7 @@ gives no shards and no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import sys
@@ -224,17 +225,40 @@ class PartIds(dict):
         return ids
 
 
+#: The rules of a tokenizer's file under which a text's ids are those of its words. Fixed values.
+WORD_RULES = {
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(tokenizer) -> bool:
+    """Whether a tokenizer lower-cases, drops white space and splits words as ``WordIds`` does."""
+    rules = json.loads(tokenizer.to_str())
+    return all((rules[k] or {}).get(many) == WORD_RULES[many] for k, many in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))) and rules["model"]["type"] == "BPE"
+
+
 class WordIds(dict):
     """ids of a word as little-endian 32-bit integers, for a byte-level BPE that lower-cases and drops white space: the
     ids of the words between ASCII white space, one after the other, are those of the text. Plain words go to the BPE
-    model in parts, others through the whole tokenizer. Holds the first CACHED_WORDS words it meets."""
+    model in parts, others through the whole tokenizer. Holds the first CACHED_WORDS words it meets. With a tokenizer of
+    other rules, ``of`` encodes whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         tokenizer = Tokenizer.from_file(path)
-        self.encode, self.parts = tokenizer.encode, PartIds(tokenizer)
+        self.encode, self.parts, self.by_words = tokenizer.encode, PartIds(tokenizer), by_words(tokenizer)
+
+    def of(self, text: bytes) -> bytes:
+        """The ids of a text."""
+        if self.by_words:
+            return b"".join(map(self.__getitem__, text.split()))
+        return little(self.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
     def __missing__(self, raw: bytes) -> bytes:
         word = raw.decode("utf-8", "replace")
@@ -270,7 +294,7 @@ def shards_of(batches, path: str, shard_tokens: int = SHARD_TOKENS, end_id: int
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = b"".join(map(words.__getitem__, (text.as_py() or b"").split())) + end
+            ids = words.of(text.as_py() or b"") + end
             docs.append(doc)
             lengths.append(len(ids) // 4)
             held.append(ids)
@@ -287,7 +311,8 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int =
     """Encode docs (doc_id, text) with the tokenizer's file and write shards in ascending doc_id order to path."""
     arrow_bytes(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Rows of one doc_id are in the order of their texts, so a task that is run again writes the same shards.
+    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def encode(batches):
         yield from shards_of(batches, tokenizer, shard_tokens, end_id)
@@ -330,6 +355,37 @@ def documents_of(shards: DataFrame) -> DataFrame:
     return shards.select("shard_id", "data").mapInArrow(decode, "shard_id long, doc_id long, at long, n_tokens long, ids_crc32 long")
 
 
+def counts_of(shards: DataFrame, ids: list[int]) -> DataFrame:
+    """(id, n): how often ids occur in all shards, by rank over their planes; nothing is decoded."""
+
+    def count(batches):
+        for batch in batches:
+            total = [0] * len(ids)
+            for blob in batch.column(0):
+                matrix = open_shard(blob.as_py())[2]
+                total = [t + matrix.count(i) for t, i in zip(total, ids, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total, pa.int64())], names=["id", "n"])
+
+    arrow_bytes(shards.sparkSession)
+    return shards.select("data").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def occurrences_of(shards: DataFrame, token: int) -> DataFrame:
+    """(doc_id, at): every place of an id, within its document, by select over the shards' planes."""
+
+    def find(batches):
+        for batch in batches:
+            for blob in batch.column(0):
+                docs, lengths, matrix = open_shard(blob.as_py())
+                ends = np.cumsum(lengths, dtype=np.int64)
+                places = np.array(matrix.occurrences(token), np.int64)
+                doc = np.searchsorted(ends, places, side="right")
+                yield pa.RecordBatch.from_arrays([pa.array([docs[i] for i in doc.tolist()], pa.int64()), pa.array(places - (ends - lengths)[doc])], names=["doc_id", "at"])
+
+    arrow_bytes(shards.sparkSession)
+    return shards.select("data").mapInArrow(find, "doc_id long, at long")
+
+
 def token_table(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
     """Write docs as shards, read them back, and return doc_id, start, n_tokens, ids_crc32 per document."""
     spark = docs.sparkSession
