@@ -91,15 +91,16 @@ def drop_list(df: DataFrame, names: list[str], errors: str = "ignore") -> DataFr
     return df.select(*[q(c) for c in df.columns if c not in names])
 
 
-def covariances(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(means, population covariances): of each pair over the rows that have both; NaN where there are none.
+def moments(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(means, population covariances, variances): the latter two of each pair over the rows that have both, the variance
+    being that of the first; NaN where there are none.
 
     Two passes: means, then sums of products about them, a matrix product for each Arrow batch. Its size is the number
     of columns squared, whatever the number of rows.
     """
     n = len(columns)
     if not n:
-        return np.zeros(0), np.zeros((0, 0))
+        return np.zeros(0), np.zeros((0, 0)), np.zeros((0, 0))
     values = [q(c).cast("double") for c in columns]
     means = np.array([np.nan if m is None else m for m in df.agg(*[F.avg(v) for v in values]).first()])
 
@@ -110,25 +111,23 @@ def covariances(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarr
             if c.null_count:
                 empty = c.is_null().to_numpy(zero_copy_only=False)
                 x[empty, i], has[empty, i] = 0, 0
-        return np.stack([x.T @ x, x.T @ has, has.T @ has])
+        return np.stack([x.T @ x, x.T @ has, (x * x).T @ has, has.T @ has])
 
-    both, first, count = summed_arrays(df.select(*[v.alias(f"c{i}") for i, v in enumerate(values)]), products, (3, n, n))
+    both, first, square, count = summed_arrays(df.select(*[v.alias(f"c{i}") for i, v in enumerate(values)]), products, (4, n, n))
     with np.errstate(divide="ignore", invalid="ignore"):
-        cov = both / count - (first / count) * (first / count).T
-    return means, cov
+        return means, both / count - (first / count) * (first / count).T, square / count - (first / count) ** 2
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None) -> np.ndarray:
     """Pearson correlations; NaN for constant columns."""
     columns = columns if columns is not None else numeric(df)
-    _, cov = covariances(df, columns)
+    _, cov, var = moments(df, columns)
     # A constant column's products about its mean are rounding errors at most.
     low, high = (np.array(df.agg(*[f(q(c).cast("double")) for c in columns]).first(), float) if columns else np.zeros(0) for f in (F.min, F.max))
-    cov[np.diag_indices(len(columns))] = np.where(low == high, 0, np.diag(cov))
-    std = np.sqrt(np.diag(cov))
+    var[low == high] = 0
     with np.errstate(divide="ignore", invalid="ignore"):
-        out = cov / np.outer(std, std)
-    out[~(np.outer(std, std) > 0)] = np.nan
+        out = cov / np.sqrt(var * var.T)
+    out[~(var * var.T > 0)] = np.nan
     return out
 
 
@@ -186,7 +185,7 @@ class RatioPCA:
         """The eigenvectors of the covariance are found on the driver (columns squared numbers)."""
         columns = columns if columns is not None else numeric(train)
         n = len(columns)
-        means, cov = covariances(train, columns)
+        means, cov, _ = moments(train, columns)
         values, vectors = np.linalg.eigh(cov)
         order = np.argsort(-values)
         values, vectors = np.maximum(values[order], 0), vectors[:, order]

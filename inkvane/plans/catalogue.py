@@ -21,6 +21,7 @@ from inkvane.ml.search import cross_val, forward_selection
 from inkvane.operators import embed, features, lm, tabular, tfidf
 from inkvane.plans.features import FeatureTable, Settings
 from inkvane.plans.oracles import ORACLE_SQL
+from inkvane.sources import io
 from inkvane.sources import pairs as P
 
 RATIO_SPECS = ["char_ratio", "word_ratio", "upper_word_ratio"]
@@ -38,14 +39,45 @@ def scan_pairs(s: SparkSession, d: str) -> DataFrame:
 
 def csv_roundtrip(s: SparkSession, d: str) -> DataFrame:
     """Written to the warehouse as CSV and read again: new lines, quotes and commas survive."""
+    path, rows = _folder(s, "csv"), P.pairs(s, d).select("id", "document", "summary", "label")
+    io.write_csv(rows, path)
+    return io.read_csv(s, path, rows.schema)
+
+
+def _folder(s: SparkSession, name: str) -> str:
     import uuid
 
-    from inkvane.sources.io import read_csv, write_csv
+    return f"{s.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def json_columns(s: SparkSession, d: str) -> DataFrame:
+    """The small table of benchmark items written as JSON of the layout {column: {id: value}}, and read again."""
+    rows = P.table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("k"), "text")
+    entries = F.map_from_entries(F.collect_list(F.struct("k", "text")))  # one value is what the layout is
+    path = _folder(s, "json")
+    rows.agg(entries.alias("document")).withColumn("summary", F.col("document")).coalesce(1).write.json(path)
+    return io.read_columns_json(s, path, label=False)
+
+
+def vector_text(s: SparkSession, d: str) -> DataFrame:
+    """Vectors written as lines of a token and its numbers, and read again."""
+    lines = P.table(s, d, "embeddings").select(F.concat(F.lit("v"), "vec_id", F.lit(" "), F.array_join(F.col("embedding").cast("array<string>"), " ")).alias("value"))
+    path = _folder(s, "vectors")
+    lines.write.text(path)
+    return io.read_vectors(s, path, DIMS).select("token", *[F.round(F.col("vec")[i].cast("double"), 6).alias(f"e{i}") for i in range(DIMS)])
+
 
-    path = f"{s.conf.get('spark.sql.warehouse.dir').rstrip('/')}/csv-{uuid.uuid4().hex}"
-    rows = P.pairs(s, d).select("id", "document", "summary", "label")
-    write_csv(rows, path)
-    return read_csv(s, path, rows.schema)
+def clean_csv(s: SparkSession, d: str) -> DataFrame:
+    """Cleaned texts beside the texts, written as CSV and read again."""
+    path, rows = _folder(s, "clean"), features.cleaned(P.pairs(s, d).select("id", "document", "summary"))
+    io.write_csv(rows, path)
+    return io.read_csv(s, path, rows.schema)
+
+
+def submission(s: SparkSession, d: str) -> DataFrame:
+    """Predictions of a rule, written as a submission and read again."""
+    path = io.write_submission(_folded(s, d).select("id", "prediction"), _folder(s, "results"), 0.5)
+    return io.read_csv(s, path, "id long, `0` int")
 
 
 def label_merge(s: SparkSession, d: str) -> DataFrame:
@@ -106,7 +138,7 @@ def term_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _vocabulary(s: SparkSession, d: str) -> DataFrame:
-    return tfidf.vocabulary(tfidf.term_counts(P.fit_corpus(s, d), "document"))
+    return tfidf.vocabulary(P.fit_corpus(s, d), "document")
 
 
 def vocab_topk(s: SparkSession, d: str) -> DataFrame:
@@ -198,6 +230,12 @@ def _bigram(s: SparkSession, d: str) -> lm.BigramModel:
     return lm.BigramModel.fit(P.fit_corpus(s, d))
 
 
+def tag_idf_cos(s: SparkSession, d: str) -> DataFrame:
+    """Cosine of the tag sequences of document and summary, weighted by their idf in the corpus."""
+    model = tfidf.fit_tag_tfidf(P.fit_corpus(s, d), ["tags_n_cos"])
+    return rounded(model.transform(P.pairs(s, d)).drop("document", "summary", "label"))
+
+
 def lm_rank(s: SparkSession, d: str) -> DataFrame:
     got = _bigram(s, d).ranked(P.pairs(s, d), "summary")
     return rounded(got.groupBy("id").agg(F.count("*").alias("tokens"), F.count("rank").alias("known"), F.coalesce(F.sum("rank"), F.lit(0)).alias("ranks"), F.sum("prob").alias("sum_prob")))
@@ -277,6 +315,11 @@ def poly_interactions(s: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("id", *[tabular.q(c) for c in out.columns if c not in df.columns]))
 
 
+def poly_all(s: SparkSession, d: str) -> DataFrame:
+    """Interactions of all features."""
+    return rounded(tabular.products(_numbers(s, d), ["never used"], every=True))
+
+
 def _vectors(s: SparkSession, d: str) -> DataFrame:
     e = P.table(s, d, "embeddings")
     wide = e.select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(DIMS)])
@@ -388,7 +431,8 @@ def sfs(s: SparkSession, d: str) -> DataFrame:
 def kde_by_label(s: SparkSession, d: str) -> DataFrame:
     from inkvane.operators.plots import densities
 
-    return densities(_numbers(s, d), "sent_avg", 50)
+    got = densities(_numbers(s, d), "sent_avg", 50)
+    return got.select("label", F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
 
 
 def full_pipeline(s: SparkSession, d: str) -> DataFrame:
@@ -400,11 +444,11 @@ def full_pipeline(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in itertools.chain(
-        (scan_pairs, csv_roundtrip, label_merge, drop_list, sanitize_names, regex_count, regex_avg, regex_overlap, regex_ratio, regex_features, clean_text, tokens_clean),
+        (scan_pairs, csv_roundtrip, json_columns, vector_text, clean_csv, submission, label_merge, drop_list, sanitize_names, regex_count, regex_avg, regex_overlap, regex_ratio, regex_features, clean_text, tokens_clean),
         (corpus_union, corpus_stats, term_counts, vocab_topk, idf_weights, idf_compose, idf_cos, idf_count_svd, idf_svd, idf_lda),
-        (tag_tokens, tag_noun_adj, tag_string, tag_count, tag_avg, tag_overlap, tag_ratio, tag_features),
+        (tag_tokens, tag_noun_adj, tag_string, tag_count, tag_avg, tag_overlap, tag_ratio, tag_features, tag_idf_cos),
         (lm_rank, lm_topk, lm_topk_probs, lm_postprocess, gltr_count_hist, gltr_frac_hist, gltr_features, embed_sum, pad_sequences, w2v_features),
-        (poly_power, poly_fixed, poly_interactions, corr_matrix, drop_corr, scale_standard, scale_positive, pca),
+        (poly_power, poly_fixed, poly_interactions, poly_all, corr_matrix, drop_corr, scale_standard, scale_positive, pca),
         (kfold_stratified, metric_accuracy, metric_f1_weighted, cv_mean, logreg, rfc, extra_trees, gbt, mlp, stacking, cross_validated, sfs, kde_by_label, full_pipeline),
     )
 }

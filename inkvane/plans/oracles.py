@@ -181,6 +181,38 @@ WEIGHTS = {
 }
 
 
+#: Tag sequences as terms: runs of two or more word characters of the joined tags, in lower case.
+TAG_TERM = rf"regexp_extract_all(lower(array_to_string(list_transform({tagged_tokens('document')}, lambda x: x.tag), '_')), '{W}{{2,}}')"
+
+
+def tag_idf_query() -> str:
+    counts = lambda name, source, column: f"{name} AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({TAG_TERM.replace('document', column)}) AS term FROM {source}) GROUP BY id, term)"
+    side = lambda name, source: f"{name} AS (SELECT u.id, u.term, u.tf * (ln(s.n / CAST(v.df AS DOUBLE)) + 1) AS x FROM {source} u JOIN v ON u.term = v.term, s)"
+    return (
+        f"WITH {CORPUS}, {counts('t', 'c', 'document')}, v AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM t GROUP BY term ORDER BY cf DESC, term LIMIT 100), {STATS}, "
+        f"{counts('td', 'p', 'document')}, {counts('ts', 'p', 'summary')}, {side('a', 'td')}, {side('b', 'ts')}, "
+        "ab AS (SELECT a.id, sum(a.x * b.x) AS d FROM a JOIN b ON a.id = b.id AND a.term = b.term GROUP BY a.id), na AS (SELECT id, sqrt(sum(x * x)) AS l FROM a GROUP BY id), nb AS (SELECT id, sqrt(sum(x * x)) AS l FROM b GROUP BY id) "
+        "SELECT p.id, coalesce(round(d / (na.l * nb.l), 6), 0.0) AS n_cos_tags FROM p LEFT JOIN ab ON p.id = ab.id LEFT JOIN na ON p.id = na.id LEFT JOIN nb ON p.id = nb.id"
+    )
+
+
+def all_products() -> str:
+    columns = ["char_count", "word_count", "upper_word_count", "sent_avg"]
+    made = [f'round({a} * {b}, 6) AS "{a if a == b else a + " " + b}{"^2" if a == b else ""}"' for i, a in enumerate(columns) for b in columns[i:]]
+    return f"WITH {NUMBERS} SELECT id, label, {', '.join(columns)}, {', '.join(made)} FROM x"
+
+
+def density_query(points: int = 50) -> str:
+    return (
+        f"WITH {NUMBERS}, e AS (SELECT min(sent_avg) AS lo, max(sent_avg) AS hi, (max(sent_avg) - min(sent_avg)) / {20 * points}.0::DOUBLE AS st FROM x), "
+        "g AS (SELECT label, count(*) AS n, greatest(1.06::DOUBLE * stddev_pop(sent_avg) * pow(count(*), -0.2::DOUBLE), any_value(st)) AS h FROM x, e GROUP BY label), "
+        "b AS (SELECT label, floor((sent_avg - lo) / st) AS bin, count(*) AS c FROM x, e GROUP BY 1, 2), "
+        f"q AS (SELECT lo + (hi - lo) * i / {points - 1}.0::DOUBLE AS x FROM e, (SELECT unnest(generate_series(0, {points - 1})) AS i)), "
+        "z AS (SELECT b.label, q.x, c, n, h, (q.x - (lo + (bin + 0.5::DOUBLE) * st)) / h AS z FROM b JOIN g ON b.label = g.label, q, e) "
+        "SELECT label, round(x, 6) AS x, round(sum(c * exp(-z * z / 2) / (n * h * 2.5066282746310002::DOUBLE)), 6) AS density FROM z GROUP BY label, x"
+    )
+
+
 def cos_side(name: str, column: str) -> str:
     return f"{name} AS (SELECT u.id, u.term, u.tf * (ln(s.n / CAST(v.df AS DOUBLE)) + 1) AS x FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower({column}), '{W}{{2,}}')) AS term FROM p) GROUP BY id, term) u JOIN v ON u.term = v.term, s)"
 
@@ -188,6 +220,13 @@ def cos_side(name: str, column: str) -> str:
 SQL = {
     "scan_pairs": f"WITH {PAIRS} SELECT * FROM p",
     "csv_roundtrip": f"WITH {PAIRS} SELECT * FROM p",
+    "json_columns": "SELECT item_id AS id, text AS document, text AS summary FROM benchmark",
+    "vector_text": "SELECT 'v' || vec_id AS token, " + ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) AS e{i}" for i in range(64)) + " FROM embeddings",
+    "clean_csv": f"WITH {PAIRS} SELECT id, document, summary, {clean('document')} AS document_clean, {clean('summary')} AS summary_clean FROM p",
+    "submission": f'WITH {FOLDS} SELECT id, prediction AS "0" FROM f',
+    "tag_idf_cos": tag_idf_query(),
+    "poly_all": all_products(),
+    "kde_by_label": density_query(),
     "label_merge": f"WITH {PAIRS} SELECT id, CAST(length(document) AS INTEGER) AS n, CAST(CASE WHEN id % 5 <> 0 THEN label END AS DOUBLE) AS label FROM p",
     "drop_list": f"WITH {PAIRS} SELECT id, label, {count('char', 'summary')} AS char_count, {count('sent', 'summary')} AS sent_count FROM p",
     "sanitize_names": tag_query(PAIRS, "id, label", list(TAG_NAMES), TAG_NAMES),

@@ -1,9 +1,11 @@
 """Models, folds and search on a small separable table."""
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from inkvane.ml import folds
+from inkvane.ml import folds, models
 from inkvane.ml.models import Classifier
 from inkvane.ml.search import Search, cross_val, forward_selection, seeded, train_eval
 from inkvane.operators.tabular import assembled
@@ -29,6 +31,12 @@ def test_stacking(table):
 def test_folds(table):
     got = folds.stratified_folds(table, 5).groupBy("label", "fold").count().collect()
     assert len(got) == 10 and {r["count"] for r in got} == {8}
+    rng = np.random.default_rng(3)
+    ids = rng.choice(10**6, 500, replace=False).tolist()
+    rows = table.sparkSession.createDataFrame([(i, int(rng.integers(0, 3)) if k > 2 else 7) for k, i in enumerate(ids)], "id long, label int")
+    want = rows.withColumn("want", F.ntile(5).over(Window.partitionBy("label").orderBy("id")) - 1)
+    got = folds.stratified_folds(rows, 5).join(want, ["id", "label"])
+    assert got.count() == 500 and got.where("fold <> want").count() == 0 and folds.stratified_folds(rows.limit(0)).count() == 0
     train, out = folds.hold_out(table, 0.3)
     assert train.count() + out.count() == 80 and 10 < out.count() < 40
 
@@ -51,6 +59,23 @@ def test_search(table):
     assert cross_val("logreg", {}, table, folds=2) > 0.9 and seeded(3) == 3
 
 
+def test_searches_sample_what_the_back_end_takes(table):
+    for name in ("rfc", "lightgbm", "catboost", "mlp", "embed_lstm"):
+        params = Search(name, table, seed=2).suggest()[0]
+        assert params and set(params) <= models.HONOURED[name]
+    trees = models.create_model("catboost", {"n_estimators": 2500, "learning_rate": 0.05})
+    assert trees.getMaxIter() == 2500 and trees.getStepSize() == 0.05
+    assert models.create_model("rfc", {"max_depth": None}).getMaxDepth() == 30
+    assert len({(models.create_model(n).getStepSize(), models.create_model(n).getMaxIter()) for n in ("lightgbm", "catboost")}) == 2
+
+
+def test_perceptron_over_word_vectors(spark):
+    words = spark.createDataFrame([("good", [1.0, 0.0]), ("bad", [0.0, 1.0])], "token string, vec array<float>")
+    pairs = spark.createDataFrame([(i, ["good news", "bad things"][i % 2], float(i % 2)) for i in range(40)], "id long, summary string, label double")
+    rows = models.summary_vectors(pairs, words)
+    assert train_eval("embed_lstm", {"mlp_hidden_dim": 4, "epochs": 30}, rows, rows) == 1.0
+
+
 def test_forward_selection(table):
     got = forward_selection(table.drop("features"), ["noise", "good"], 1, folds=2)
     assert got[0][0] == ["good"]

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,18 @@ def test_pca(table):
         tabular.perform_pca(table, ratio=0.5, scaled=False)
 
 
+def test_correlations_skip_nulls(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4)) + [0, 1e6, -5, 2]
+    x[rng.random((300, 4)) < 0.1] = np.nan
+    rows = [tuple(None if math.isnan(v) else float(v) for v in r) for r in x]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    want = pd.DataFrame(x).corr().to_numpy()
+    assert np.allclose(tabular.correlations(df, list("abcd")), want, atol=1e-7)
+    empty = tabular.correlations(df.limit(0), list("abcd"))
+    assert empty.shape == (4, 4) and np.isnan(empty).all()
+
+
 def test_products(table):
     got = tabular.products(table, ["a^2 c"], ["a", "c"], degree=2).first()
     assert got["a^2 c"] == pytest.approx(got["a"] ** 2 * got["c"]) and got["a c"] == pytest.approx(got["a"] * got["c"])
@@ -89,6 +102,33 @@ def test_language_model(spark):
     assert 1 <= len(model.sample(5, seed=1)) <= 5  # it ends where nothing follows
 
 
+def test_ranks_of_followers(spark):
+    """Counts of followers down, then the token, whatever the number of equal counts."""
+    rng = np.random.default_rng(6)
+    lines = [(i, " ".join(f"w{j}" for j in rng.zipf(1.5, 50) % 40)) for i in range(30)]
+    model = lm.BigramModel.fit(spark.createDataFrame(lines, "id long, document string"))
+    seen = {}
+    for _, t in lines:
+        words = ["<s>", *[w for w in t.split() if len(w) > 1]]
+        for a, b in zip(words, words[1:], strict=False):
+            seen.setdefault(a, {}).setdefault(b, 0)
+            seen[a][b] += 1
+    want = {(a, b): (k, c, sum(n.values())) for a, n in seen.items() for k, (b, c) in enumerate(sorted(n.items(), key=lambda x: (-x[1], x[0])))}
+    assert {(r["prev"], r["token"]): (r["rank"], r["c"], r["total"]) for r in model.table.collect()} == want
+
+
+def test_embeddings_by_name(spark, tmp_path):
+    from inkvane import cli
+    from inkvane.plans.features import FeatureTable, Settings
+
+    (tmp_path / "embed").mkdir()
+    (tmp_path / "embed" / "glove_300.txt").write_text("cat " + " ".join(["1"] * 300) + "\n")
+    assert cli.vectors_of(spark, str(tmp_path), ["glove", "own"])["glove"].count() == 1
+    pairs = spark.createDataFrame([(1, "a cat", "cat", 1)], "id long, document string, summary string, label int")
+    with pytest.raises(ValueError, match="glove"):
+        FeatureTable(Settings(regex=[], idf=[], tags=[], ranks=[], embeddings=["glove"])).fit(pairs)
+
+
 def test_embeddings(spark):
     table = spark.createDataFrame([("cat", [3.0, 0.0]), ("dog", [0.0, 4.0]), ("anti", [-3.0, 0.0])], "token string, vec array<float>")
     rows = spark.createDataFrame([(1, "cat cat dog"), (2, "none"), (3, "cat anti")], "id long, summary string")
@@ -165,6 +205,10 @@ def test_files(spark, tmp_path):
     assert sorted((r[0], list(r[1])) for r in io.read_vectors(spark, str(tmp_path / "v.txt"), 2).collect()) == [("cat", [1, 2]), ("new york", [3, 4])]
     (tmp_path / "w.bin").write_bytes(b"2 2\ncat " + np.array([1, 2], "<f4").tobytes() + b"\ndog " + np.array([3, 4], "<f4").tobytes() + b"\n")
     assert sorted((r[0], list(r[1])) for r in io.read_binary_vectors(spark, str(tmp_path / "w.bin")).collect()) == [("cat", [1, 2]), ("dog", [3, 4])]
+    many = np.random.default_rng(0).normal(size=(3000, 100)).astype("<f4")
+    (tmp_path / "m.bin").write_bytes(b"3000 100\n" + b"".join(f"w{i} ".encode() + v.tobytes() + b"\n" * (i % 2) for i, v in enumerate(many)))
+    got = {r[0]: r[1] for r in io.read_binary_vectors(spark, str(tmp_path / "m.bin")).collect()}
+    assert len(got) == 3000 and all(np.allclose(got[f"w{i}"], many[i]) for i in (0, 1, 1500, 2999))
     assert io.submission_name(0.91234).endswith("_cv_ac_0.912")
 
 
