@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkvane.llm import decontaminate, jaccard, mixing, quality, wavelet
-from inkvane.llm.common import importable, read, written
+from inkvane.llm.common import delete, importable, new_path, read
 
 MAX_REPEATS = 1.5
 
@@ -51,7 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The rows of the last stage. What a stage wrote goes once the next one is written."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for n, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage{n}")
+        path = new_path(spark, f"stage{n}")
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs

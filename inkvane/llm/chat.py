@@ -83,15 +83,24 @@ def parsed(rendered: DataFrame) -> DataFrame:
     return rendered.withColumn("pieces", pieces).select("conv_id", "formatted", F.zip_with("pieces", "spans", turn).alias("turns"))
 
 
+def log_of(rows: DataFrame) -> DataFrame:
+    """A log of finished turns (conv_id, turn, role, text), as a service would have written it: answers come as streamed
+    deltas, two halves, others as messages. Each row is a turn of its own, in the order of turn; equal turns keep their rows."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    event = lambda n, kind, t: F.struct((F.col("place") * 2 + n).alias("seq"), F.lit(kind).alias("kind"), F.col("place").alias("turn"), F.col("role"), t.alias("text"))
+    streamed = F.array(event(0, "delta", F.substring(text, F.lit(1), half)), event(1, "delta", F.substring(text, half + 1, F.length(text))))
+    events = F.when(F.col("role") == LOSS_ROLE, streamed).otherwise(F.array(event(0, "message", text)))
+    return rows.withColumn("place", place).select("conv_id", F.inline(events))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(LOSS_ROLE).alias("role"), F.lit(probe).alias("text"))
     rows = rows.union(extra)
-    # Each row is a message of its own, in the order of turn; equal turns keep their rows.
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
-    log = rows.withColumn("seq", place).select("conv_id", "seq", F.lit("message").alias("kind"), F.col("seq").alias("turn"), "role", "text")
-    read_back = parsed(render(messages(log)))
+    read_back = parsed(render(messages(log_of(rows))))
     under = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"].isNotNull()), lambda t: t["loss"]), "")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read_back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), under.alias("under"), F.length("formatted").cast("long").alias("formatted_chars")).select(

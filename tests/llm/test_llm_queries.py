@@ -617,6 +617,16 @@ def test_chat_round_trip(spark):
     assert [re.sub(r"([<\[\\])\\", r"\1", formatted[s["start"] : s["end"]]) for s in spans] == [t or "" for t in texts]
 
 
+def test_chat_logs_of_turns(spark):
+    """A log of finished turns folds back into them: nulls, empty texts, equal turns and one letter."""
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, 2, None, "x"), (1, 3, "assistant", None), (1, 4, "assistant", "😀é"), (None, 0, "assistant", "odd"), (2, None, "user", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", F.lit(9))
+    got = {}
+    for r in chat.messages(chat.log_of(df)).orderBy("conv_id", "turn").collect():
+        got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    assert got == {1: [("user", "hi"), ("assistant", "a"), ("assistant", "a"), ("", "x"), ("assistant", ""), ("assistant", "😀é")], None: [("assistant", "odd")], 2: [("user", "")]}
+
+
 def test_chat_of_odd_rows(spark):
     rows = [(1, None, "message", None, None, None), (1, 2, "message", 2, "user", "a"), (1, 2, "message", 2, "user", "a"), (None, 1, "delta", 1, "assistant", "b"), (None, 1, "delta", 1, "assistant", "b"), (3, 1, "delete", 1, "user", "x")]
     df = spark.createDataFrame(rows, "conv_id long, seq long, kind string, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("at", "back", "p", "since")})
