@@ -20,13 +20,16 @@ so named; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkvane.llm.common import read
 
 _LOCAL = "A-Za-z0-9._%+-"
-#: kind: (guard that any match passes, pattern)
+#: kind: (guard that any text with a finding passes, a pattern or strings, one of which is in the text in lower case or as it is; pattern)
 PATTERNS = {
     "email": (r"@[A-Za-z0-9-]++\.", rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     "ip": (r"\.[0-9]++\.[0-9]", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}+"),
@@ -35,8 +38,8 @@ PATTERNS = {
     "iban": (r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])"),
     "ssn": (r"[0-9]-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban_grouped": (r"[A-Z]{2}[0-9]{2} [A-Z0-9]{4} ", r"[A-Z]{2}[0-9]{2}( [A-Z0-9]{4}){2,7}( [A-Z0-9]{1,3})?"),
-    "key": (r"PRIVATE KEY-----|AKIA[0-9A-Z]|gh[pousr]_", r"-----BEGIN [A-Z ]*PRIVATE KEY-----|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}"),
-    "secret": (r"[A-Za-z0-9_-]{20}", r"[A-Za-z0-9_-]{20,}+"),
+    "key": (("PRIVATE KEY-----", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"-----BEGIN [A-Z ]*PRIVATE KEY-----|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}"),
+    "secret": (("token", "secret", "passw", "key", "credential"), r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+"),
 }
 BASE = ("email", "ip", "card", "phone")
 #: Score by form and validator, and context words that add CONTEXT to it.
@@ -93,7 +96,11 @@ def proposed(kind: str, text: Column) -> tuple[Column, Column]:
     """(matches, gaps) of a kind in a text that passes its guard; else empty arrays."""
     guard, pattern = PATTERNS[kind]
     none = F.array().cast("array<string>")
-    hit = text.rlike(guard)
+    if isinstance(guard, tuple):
+        whole = F.lower(text) if kind == "secret" else text
+        hit = functools.reduce(operator.or_, [whole.contains(part) for part in guard])
+    else:
+        hit = text.rlike(guard)
     return F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none), F.when(hit, F.split(text, pattern, -1)).otherwise(none)
 
 
