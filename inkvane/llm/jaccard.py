@@ -212,7 +212,7 @@ def pruned_groups(reps, sig, n, side, threshold: float, tolerance: float) -> np.
             continue
         i, j = survivors(sig[rows], n[rows], sig[cols], n[cols], threshold, needs)
         starts = np.flatnonzero(np.diff(i, prepend=-1))
-        for s, e in zip(starts, np.append(starts[1:], len(i)), strict=True):
+        for s, e in zip(starts, np.append(starts, len(i))[1:], strict=True):  # none may survive between two blocks
             groups.join(int(rows[i[s]]), cols[j[s:e]])
     least = np.full(len(reps), np.iinfo(np.int64).max)
     np.minimum.at(least, groups.label, reps)

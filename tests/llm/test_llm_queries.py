@@ -371,6 +371,17 @@ def test_jaccard_with_small_tiles(spark):
     assert sorted((number(r["doc_id"]), r["n"], number(r["c"])) for r in got) == want
 
 
+def test_jaccard_of_candidates_that_are_not_similar(spark):
+    """A candidate group larger than a tile, of texts that share a line only: no pair of some two blocks survives pruning."""
+    line = " ".join(f"line{i}" for i in range(24))
+    rows = [(i, " ".join([line, *(f"w{i}x{j}" for j in range(12))])) for i in range(60)]
+    rows.append((60, rows[7][1] + " more"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found, links = jaccard.linked_classes(docs, tile=16, bundle=10)
+    got = found.join(links, "rep", "left").select("doc_id", F.coalesce("others", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("c")).collect()
+    assert sorted((number(r["doc_id"]), r["n"], number(r["c"])) for r in got) == near_by_hand(rows)
+
+
 def test_quality_on_held_out_labels(spark, data, duck):
     sf = data.replace("sf0.001", "sf0.01")
     got = QUERIES["op9_quality"](spark, sf).toPandas().set_index("doc_id")

@@ -113,6 +113,14 @@ def test_pruning_keeps_what_is_likely():
     assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {1: 1, 3: 1, 5: 1, 7: 7, 8: 7, 9: 7}
 
 
+def test_pruning_between_blocks_without_survivors():
+    reps, n, side = np.arange(300), np.full(300, 50), np.arange(300) // 150
+    sig = np.random.default_rng(3).integers(0, 2**32, (300, jaccard.BANDS * jaccard.ROWS), dtype=np.uint32)
+    assert jaccard.pruned_groups(reps, sig, n, side, 0.8, 1e-6).tolist() == list(range(300))
+    sig[299] = sig[140]  # of the second slice of the left block
+    assert jaccard.pruned_groups(reps, sig, n, side, 0.8, 1e-6).tolist() == [*range(299), 140]
+
+
 def test_url_parts_and_model():
     model = urls.UrlModel.train(urls.labelled())
     assert model.score("", "") == 0 and urls.parts_of("X://A.b/C?d") == ("a.b", "/C") and urls.parts_of(None) == urls.parts_of("a/b") == ("", "")
