@@ -53,6 +53,21 @@ def test_pca(table):
         tabular.perform_pca(table, ratio=0.5, scaled=False)
 
 
+def test_pca_of_many_columns_is_no_large_expression(spark):
+    x = np.random.default_rng(2).normal(size=(300, 40))
+    rows = [(i, "kept", *[None if (i, j) == (7, 3) else float(v) for j, v in enumerate(r)]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, name string, " + ", ".join(f"`c.{j}` double" for j in range(40)))
+    model = tabular.RatioPCA.fit(df, 0.99)
+    out = model.transform(df)
+    k = model.components.shape[1]
+    assert k > 30 and len(out._jdf.queryExecution().analyzed().toString()) < 100 * (40 + k) + 5000  # not columns times components
+    assert out.columns == ["id", "name", *[f"PCA_{i + 1}" for i in range(k)]]
+    got = {r["id"]: r for r in out.collect()}
+    want = (x - np.array(model.means)) @ model.components
+    assert all(np.allclose(got[i][2:], want[i], atol=1e-9) for i in range(300) if i != 7)
+    assert got[7]["name"] == "kept" and set(got[7][2:]) == {None} and len(got) == 300
+
+
 def test_correlations_skip_nulls(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 4)) + [0, 1e6, -5, 2]
