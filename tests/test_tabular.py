@@ -132,6 +132,34 @@ def test_ranks_of_followers(spark):
     assert {(r["prev"], r["token"]): (r["rank"], r["c"], r["total"]) for r in model.table.collect()} == want
 
 
+def test_ranks_by_several_tasks_and_of_marked_pairs(spark, monkeypatch):
+    """The same ranks where followers are put in order by groups, and where the pairs of other rows are marked."""
+    rng = np.random.default_rng(8)
+    lines = [(i, " ".join(f"{'abc'[j % 3]}{j}" for j in rng.zipf(1.4, 60) % 50)) for i in range(30)] + [(30, ""), (31, None)]
+    docs = spark.createDataFrame(lines, "id long, document string")
+    want = sorted(map(tuple, lm.BigramModel.fit(docs).table.collect()))
+    monkeypatch.setattr(lm.BigramModel, "MANY", 3)
+    monkeypatch.setattr(lm.BigramModel, "SHARE", 1)
+    model = lm.BigramModel.fit(docs)
+    assert sorted(map(tuple, model.table.collect())) == want and len({r[0] for r in want}) > 10
+    table = {(r[0], r[1]): (r[5], r[4]) for r in want}
+    rows = spark.createDataFrame([(1, lines[0][1]), (2, lines[1][1] + " unseen a1 a1"), (3, ""), (4, None)], "id long, summary string")
+    for m in (model, lm.BigramModel(model.table)):
+        got = m.ranked(rows, "summary").collect()
+        assert len(got) == sum(len([w for w in t.split() if len(w) > 1]) for t in (lines[0][1], lines[1][1] + " unseen a1 a1"))
+        assert all((r["rank"], r["prob"]) == table.get((r["prev"], r["token"]), (None, 0.0)) for r in got)
+
+
+def test_corpus_of_ranks_is_read_once(spark):
+    docs = spark.createDataFrame([(1, "aa bb aa cc"), (2, "aa dd")], "id long, document string").repartition(2)
+    table = lm.BigramModel.fit(docs).table
+    assert table.count() == 5
+    plan = table.select("prev", "token", "rank", "total")
+    plan.collect()
+    final = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Generate") == 1 and final.count("regexp_extract_all") == 1, final
+
+
 def test_embeddings_by_name(spark, tmp_path):
     from inkvane import cli
     from inkvane.plans.features import FeatureTable, Settings
