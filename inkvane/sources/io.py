@@ -95,7 +95,8 @@ def submission_name(score: float, metric: str = "accuracy", when: datetime | Non
 
 
 def write_submission(predictions: DataFrame, folder: str, score: float, metric: str = "accuracy") -> str:
-    """One CSV of id and prediction (named ``0``); predictions are small by nature, a row for each test text."""
+    """A CSV of id and prediction (named ``0``), a folder of as many files as there are tasks: with one file, one task would
+    do all the work since the last exchange, such as reading every text."""
     path = f"{folder}/{submission_name(score, metric)}.csv"
-    write_csv(predictions.select("id", F.col("prediction").cast("int").alias("0")).coalesce(1), path)
+    write_csv(predictions.select("id", F.col("prediction").cast("int").alias("0")), path)
     return path

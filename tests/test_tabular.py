@@ -1,5 +1,6 @@
 """Feature tables: scaling, pruning, projection, histograms, files."""
 
+import glob
 import math
 
 import numpy as np
@@ -68,6 +69,13 @@ def test_pca_of_many_columns_is_no_large_expression(spark):
     assert got[7]["name"] == "kept" and set(got[7][2:]) == {None} and len(got) == 300
 
 
+def test_submission_is_written_by_every_task(spark, tmp_path):
+    rows = spark.range(0, 100, numPartitions=4).select("id", (F.col("id") % 2).alias("prediction"))
+    path = io.write_submission(rows, str(tmp_path), 0.75)
+    assert len(glob.glob(f"{path}/part-*")) == 4
+    assert sorted(map(tuple, io.read_csv(spark, path, "id long, `0` int").collect())) == [(i, i % 2) for i in range(100)]
+
+
 def test_correlations_skip_nulls(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 4)) + [0, 1e6, -5, 2]
