@@ -168,6 +168,35 @@ def test_corpus_of_ranks_is_read_once(spark):
     assert final.count("Generate") == 1 and final.count("regexp_extract_all") == 1, final
 
 
+def test_topics_of_rows_in_parts(monkeypatch):
+    """Shares and weights as worked out a row at a time by the formula, whatever rows are taken together."""
+    def digamma(v):  # by differences of the logarithm of gamma
+        f = np.vectorize(lambda y: (math.lgamma(y * (1 + 1e-5)) - math.lgamma(y * (1 - 1e-5))) / (2e-5 * y))
+        return f(v)
+
+    rng = np.random.default_rng(5)
+    lengths = np.array([0, 7, 40, 0, 1, 300, 12, 25, 0])
+    at = np.concatenate([np.sort(rng.choice(400, n, replace=False)) for n in lengths])
+    x, topics = rng.integers(1, 9, len(at)).astype(float), rng.gamma(2.0, 0.5, (3, 400))
+    words = np.exp(digamma(topics) - digamma(topics.sum(axis=1, keepdims=True))).T
+    shares, weights = np.zeros((len(lengths), 3)), np.zeros((len(at), 3))
+    for i, (a, n) in enumerate(zip(np.cumsum(lengths) - lengths, lengths, strict=True)):
+        gamma, of, count = np.ones(3), words[at[a : a + n]], x[a : a + n]
+        for _ in range(100):
+            share = np.exp(digamma(gamma) - digamma(gamma.sum()))
+            new = 1 / 3 + share * (of * (count / (of @ share))[:, None]).sum(axis=0)
+            gamma, moved = new, np.abs(new - gamma).mean()
+            if moved < 1e-3:
+                break
+        shares[i] = gamma / gamma.sum()
+        share = of * np.exp(digamma(gamma) - digamma(gamma.sum()))
+        weights[a : a + n] = share * (count / share.sum(axis=1))[:, None]
+    for cells in (1, 45, tfidf.CELLS):
+        monkeypatch.setattr(tfidf, "CELLS", cells)
+        got = tfidf.topic_inference(topics)(lengths, at, x)
+        assert np.allclose(got[0], shares, atol=1e-5) and np.allclose(got[1], weights, atol=1e-5)
+
+
 def test_embeddings_by_name(spark, tmp_path):
     from inkvane import cli
     from inkvane.plans.features import FeatureTable, Settings
