@@ -79,3 +79,20 @@ def test_perceptron_over_word_vectors(spark):
 def test_forward_selection(table):
     got = forward_selection(table.drop("features"), ["noise", "good"], 1, folds=2)
     assert got[0][0] == ["good"]
+
+
+def test_few_tasks_for_cached_tables(spark):
+    """A table that many jobs read has a partition for each core, whatever the exchange before it; no row is lost."""
+    rows = spark.range(0, 1000, numPartitions=4).repartition(90).persist()
+    cores = spark.sparkContext.defaultParallelism
+    assert folds.compact(rows).rdd.getNumPartitions() == cores and folds.compact(rows, most=100).rdd.getNumPartitions() == 10
+    assert sorted(r["id"] for r in folds.compact(rows).collect()) == list(range(1000))
+    rows.unpersist()
+
+
+def test_texts_are_read_once_for_models(spark, data):
+    from inkvane.plans import catalogue
+
+    train, test = catalogue._table(spark, data)
+    for df in (train, test):
+        assert "InMemoryTableScan" in df._jdf.queryExecution().executedPlan().toString()
