@@ -307,3 +307,19 @@ def test_densities(table):
     for _, part in got.groupby("label"):
         part = part.sort_values("x")
         assert 0.7 < np.trapezoid(part["density"], part["x"]) < 1.05
+
+
+def test_feature_table_of_all_rows_at_once(spark, data):
+    """fit_transform is fit, then transform, with the columns of all rows cached."""
+    from inkvane.plans.features import FeatureTable, Settings
+    from inkvane.sources import pairs as P
+
+    train, test = P.train_test(spark, data)
+    settings = Settings(regex=["word_count"], idf=["n_cos"], tags=["DT_count", "tags_n_cos"], ranks=["count_4"])
+    model = FeatureTable(settings).fit(train, P.more_docs(spark, data))
+    want = model.transform(train.unionByName(test))
+    got = FeatureTable(settings).fit_transform(train, P.more_docs(spark, data), test)
+    assert got.columns == want.columns
+    frames = [df.toPandas().sort_values("id").reset_index(drop=True) for df in (got, want)]
+    assert np.allclose(*[f.to_numpy(float) for f in frames], atol=1e-9, equal_nan=True)
+    assert "InMemory" in got._jdf.queryExecution().optimizedPlan().toString()
