@@ -87,3 +87,18 @@ def test_letters_apply_from_left_to_right(spark):
     assert list(got[1]) == pytest.approx(want) and got[0]["w"] == 1
     with pytest.raises(ValueError):
         composed("z", F.col("tf"), c)
+
+
+def test_vectors_are_trained_by_the_whole_job(spark, data, monkeypatch):
+    """The query leaves size, window and iterations to the operator, whose defaults are those of the README."""
+    import inspect
+
+    from inkvane.operators import embed
+    from inkvane.plans import catalogue
+
+    given, real = {}, embed.trained_vectors
+    monkeypatch.setattr(embed, "trained_vectors", lambda rows, **kw: given.update(kw) or real(rows.limit(5), size=8, iterations=1, min_count=1))
+    assert len(catalogue.w2v_features(spark, data).columns) == 9
+    assert not set(given) & {"size", "window", "iterations", "min_count"} and given["partitions"] == spark.sparkContext.defaultParallelism
+    defaults = {k: p.default for k, p in inspect.signature(real).parameters.items()}
+    assert (defaults["size"], defaults["window"], defaults["iterations"]) == (300, 20, 25)
